@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, packing, topk
+from . import chat, ngram_join, packing, topk
 
 QUERIES = {
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_packing": packing.op10_packing,
