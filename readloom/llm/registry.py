@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, ngram_join, packing, topk
+from . import chat, fingerprint, ngram_join, packing, quality, topk
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_packing": packing.op10_packing,
