@@ -1,16 +1,18 @@
 """Quality classifier by compression (operator 6).
 
 Two zstandard dictionaries hold labelled text, one good and one bad, of the same size. A text is
-compressed with either, block by block; the difference of the two sizes, divided by their sum, says
-which of the two it resembles, and a logistic curve fitted on labelled rows turns it into the
-probability of a good label. The curve is fitted on other labelled rows than the dictionaries.
+compressed with either, block by block; the difference of the two sizes, divided by the text's own
+size, says which of the two it resembles. A logistic curve fitted on labelled rows turns it into
+the probability of a good label; besides the difference the curve has the compressed share and the
+length of the text (and their products), as the same difference means something else in text that
+repeats itself or is short. The curve is fitted on other labelled rows than the dictionaries.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows (those with the smallest hashes of doc_id), and
 ``TEXT_CHARS`` characters of each; scoring compresses whole texts. Labels, lang, source and doc_id
 are no inputs of a score. If training rows lack one of the classes, every score is the share of
 good labels (0.5 without labels).
 
-Nulls: null and empty texts have difference 0 and get the curve's value there. Null doc_ids are
+Nulls: null and empty texts have difference and share 0 and get the curve's value there. Null doc_ids are
 scored, and are not held out; labels with a null id or quality teach nothing. Repeated rows are
 scored alike; of several labels of a document each counts. An empty table gives an empty result.
 """
@@ -31,13 +33,14 @@ from .common import table
 TRAIN_ROWS = 4000
 TEXT_CHARS = 4000
 DICT_BYTES = 1 << 16
+PIECE_BYTES = 300
 BLOCK_BYTES = 1 << 12
 LEVEL = 3
 THRESHOLD = 0.3
 
 
 class Compressor:
-    """Normalised difference of the compressed sizes under two dictionaries, above 0: more like the good."""
+    """Sizes under two dictionaries: their normalised difference (above 0: more like the good), the compressed share, the length, and products of these."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL) -> None:
         raw = lambda b: zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -48,30 +51,32 @@ class Compressor:
             self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         self.empty = [len(c.compress(b"")) for c in self.coders]
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, text: str | None) -> list[float]:
         data = (text or "").encode("utf-8", "surrogatepass")
         sizes = [0, 0]
         for at in range(0, len(data), BLOCK_BYTES):
             block = data[at : at + BLOCK_BYTES]
             for i, c in enumerate(self.coders):
                 sizes[i] += len(c.compress(block)) - self.empty[i]
-        total = sum(sizes)
-        return (sizes[1] - sizes[0]) / total if total > 0 else 0.0
+        d, r, n = (sizes[1] - sizes[0]) / max(1, len(data)), sum(sizes) / (len(data) + 20), math.log(max(1, len(data)))
+        return [d, r, n, d * r, d * n, r * r, r * n]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
-    """(slope, offset) of the curve by Newton's method."""
-    a = np.stack([x, np.ones_like(x)], 1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60) -> list[float]:
+    """Weights of the columns of x, and the offset, of a logistic curve by Newton's method."""
+    centre, width = x.mean(0), np.maximum(x.std(0), 1e-9)
+    a = np.column_stack([(x - centre) / width, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + ridge * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        step = np.linalg.solve(hess, grad)
+        hess = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, a.T @ (p - y) + ridge * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    w[:-1] /= width
+    w[-1] -= w[:-1] @ centre
+    return w.tolist()
 
 
 def fold(doc_id) -> F.Column:
@@ -90,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, chars: i
     share = use.agg(F.avg("quality")).first()[0]
     y = np.array([r["quality"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
-        return {"good": b"", "bad": b"", "curve": (0.0, logit(0.5 if share is None else share))}
+        return {"good": b"", "bad": b"", "curve": [0.0] * 7 + [logit(0.5 if share is None else share)]}
     parts = {}
     for q in (1, 0):
         own = [r["text"] for r in rows if r["quality"] == q]
@@ -101,10 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, chars: i
     coder = Compressor(good, bad)
     x = np.array([coder(t) for q in (1, 0) for t in parts[q][1]])
     y = np.array([float(q) for q in (1, 0) for _ in parts[q][1]])
-    slope, offset = logistic(x, y)
-    # the sample holds as many good as bad rows; the offset moves to the share of all labels
-    offset += logit(share) - logit(y.mean())
-    return {"good": good, "bad": bad, "curve": (max(slope, 0.0), offset)}
+    curve = logistic(x, y)
+    # the sample may hold more bad rows than their share; the offset moves to the share of all labels
+    curve[-1] += logit(share) - logit(y.mean())
+    return {"good": good, "bad": bad, "curve": curve}
 
 
 def logit(p: float) -> float:
@@ -113,20 +118,30 @@ def logit(p: float) -> float:
 
 
 def cut(texts: list[str]) -> bytes:
-    """Equal shares of many texts, DICT_BYTES together."""
-    share = max(64, DICT_BYTES // len(texts))
-    return b"".join(t.encode("utf-8", "surrogatepass")[:share] for t in texts)[-DICT_BYTES:]
+    """PIECE_BYTES from the middle of each of as many texts as fill DICT_BYTES."""
+    out = b""
+    for t in texts:
+        data = t.encode("utf-8", "surrogatepass")
+        at = max(0, (len(data) - PIECE_BYTES) // 2)
+        out += data[at : at + PIECE_BYTES]
+        if len(out) >= DICT_BYTES:
+            break
+    return out[:DICT_BYTES]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with a column ``score``: the probability of a good label, from the whole text."""
-    slope, offset = model["curve"]
+    *weights, offset = model["curve"]
+
+    def rated(x: list[float]) -> float:
+        z = sum(w * v for w, v in zip(weights, x, strict=True)) + offset
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = Compressor(model["good"], model["bad"])
         for texts in batches:
-            yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, slope * coder(t) + offset)))) for t in texts], dtype="float64")
+            yield pd.Series([rated(coder(t)) for t in texts], dtype="float64")
 
     return docs.withColumn("score", rate("text"))
 
