@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, ngram_join, packing, quality, topk
+from . import chat, fingerprint, ngram_join, packing, quality, secret_scan, topk
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_chat_formatting": chat.op7_chat_formatting,
