@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, ngram_join, packing, quality, secret_scan, topk
+from . import chat, fingerprint, ngram_join, packing, pii, quality, secret_scan, topk
 
 QUERIES = {
+    "op1_pii_sanitisation": pii.op1_pii_sanitisation,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_fingerprints": fingerprint.op5_fingerprints,
