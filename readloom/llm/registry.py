@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, ngram_join, packing, pii, quality, secret_scan, topk
+from . import chat, fingerprint, ngram_join, packing, pii, quality, secret_scan, topk, wrappers
 
 QUERIES = {
     "op1_pii_sanitisation": pii.op1_pii_sanitisation,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_html_extraction": wrappers.op8_html_extraction,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_packing": packing.op10_packing,
 }
