@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, ngram_join, packing, pii, quality, secret_scan, topk, wrappers
+from . import chat, fingerprint, mixing, ngram_join, packing, pii, quality, secret_scan, topk, wrappers
 
 QUERIES = {
     "op1_pii_sanitisation": pii.op1_pii_sanitisation,
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_fingerprints": fingerprint.op5_fingerprints,
