@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .hashing import mix
+from .hashing import Words, mix
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -77,8 +77,11 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def placed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, at): each row's first word within its source."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    """(doc_id, source, row, size, source_size, at): each row's first word within its source.
+
+    ``row`` is the hash of all columns, by which a row is found again.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(*docs.columns).alias("row"), n_words(F.col("text")).alias("size"))
     n_rows = d.count()
     bins = max(1, -(-n_rows // DOCS_PER_BIN))
     d = d.withColumn("bin", F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.lit(bins)).cast("int"))
@@ -88,8 +91,8 @@ def placed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sums = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0))).withColumn("source_size", F.sum("bin_size").over(own)).drop("bin_size")
     sums = sums.withColumnsRenamed({"source": "of_source", "bin": "of_bin"})
     joined = d.join(sums, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bin") == F.col("of_bin")))
-    within = Window.partitionBy("source", "bin").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select("doc_id", "source", "size", "source_size", (F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("at"))
+    within = Window.partitionBy("source", "bin").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select("doc_id", "source", "row", "size", "source_size", (F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("at"))
 
 
 def slots(spark: SparkSession, sources: pd.DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -148,9 +151,9 @@ def slots(spark: SparkSession, sources: pd.DataFrame, block: int = BLOCK, seed:
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: (doc_id, source, no, at, size, source_size, target), one row for each row of
-    ``docs``; pieces: (doc_id, no, at, size, pass, begin, end), the words of a document that one
-    slot takes.
+    documents: (doc_id, source, row, no, at, size, source_size, target), one row for each row of
+    ``docs``; pieces: (row, no, at, size, pass, begin, end), the words of a document that one slot
+    takes.
     """
     spark = docs.sparkSession
     d = written(placed(docs, seed), "mix-places")
@@ -160,13 +163,44 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOC
     sizes = [r["size"] for r in found]
     table_ = pd.DataFrame({"no": range(len(sizes)), "size": sizes, "target": targets(sizes, weights)})
     names = spark.createDataFrame([(r["source"], i, t) for i, (r, t) in enumerate(zip(found, table_["target"], strict=True))], "of_source string, no int, target double")
-    d = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "source", "no", "at", "size", "source_size", "target")  # MAX_SOURCES rows at most
-    spread = d.where(F.col("size") > 0).select("doc_id", "no", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
+    d = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "source", "row", "no", "at", "size", "source_size", "target")  # MAX_SOURCES rows at most
+    spread = d.where(F.col("size") > 0).select("row", "no", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     spread = spread.withColumn("begin", F.greatest(F.lit(0), F.col("at") - F.col("block") * block)).withColumn("end", F.least(F.lit(block), F.col("at") + F.col("size") - F.col("block") * block))
     taken = slots(spark, table_, block, seed)
     pieces = spread.join(taken, ["no", "block"]).where(F.col("words") > F.col("begin"))
     offset = F.col("block") * block - F.col("at")
-    return d, pieces.select("doc_id", "no", "at", "size", "pass", (F.col("begin") + offset).alias("begin"), (F.least("end", "words") + offset).alias("end"))
+    return d, pieces.select("row", "no", "at", "size", "pass", (F.col("begin") + offset).alias("begin"), (F.least("end", "words") + offset).alias("end"))
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of ``docs``: one row for each stretch of a document that a pass takes.
+
+    ``text`` is that stretch (the whole text if all of it is taken) and ``n_chars``, where ``docs``
+    has it, its length; other columns stay. Documents that the mix doesn't take are not there.
+    """
+    _, pieces = mixed(docs, **options)
+    run = Window.partitionBy("no", "at", "pass").orderBy("begin")
+    start = (F.col("begin") != F.coalesce(F.lag("end").over(run), F.lit(-1))).cast("int")
+    runs = pieces.withColumn("start", start).withColumn("run", F.sum("start").over(run)).groupBy("row", "no", "at", "pass", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.first("size").alias("size"))
+
+    @F.pandas_udf("string")
+    def stretch(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        words = Words()
+        for texts, begin, end, size in batches:
+            out = []
+            for t, b, e, n in zip(texts, begin, end, size, strict=True):
+                if e - b < n:
+                    data = t.encode("utf-8", "surrogatepass")
+                    starts, ends = words.spans(np.frombuffer(data, dtype=np.uint8))
+                    t = data[starts[b] : ends[e - 1]].decode("utf-8", "surrogatepass")
+                out.append(t)
+            yield pd.Series(out, dtype=object)
+
+    texts = docs.withColumn("row", F.xxhash64(*docs.columns)).dropDuplicates(["row"])
+    out = texts.join(runs.select("row", "begin", "end", "size"), "row").withColumn("text", stretch("text", "begin", "end", "size"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
