@@ -10,8 +10,10 @@
    star, so a large group of copies gives a row for each copy and not for each pair).
 4. Pairs whose sketches differ in more bits than allowed go; the rest is verified on the shingle
    sets of the whole texts.
-5. Chunks whose texts do not yet all hang together give the pairs across components, verified alike,
-   so no link that could join two components is missed.
+5. Chunks whose texts do not yet all hang together are joined with themselves across components.
+   The join's condition compares the sketches, folded to 512 bits (which keeps the lower bound), so
+   only pairs that may be linked come out; they are verified alike. No link that could join two
+   components is missed.
 6. Components by repeated minimum over the links with pointer jumping.
 
 Nulls: null and empty texts have no shingles and are linked with nothing. Rows with the same doc_id
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .hashing import Words, mix, shingles
 
 U64 = np.uint64
@@ -77,8 +79,18 @@ def sketch(sets: np.ndarray, chunks: int, salt: int) -> np.ndarray:
     return out
 
 
+FOLDED = 8
+
+
+def fold(words: np.ndarray) -> np.ndarray:
+    """A parity sketch of FOLDED words: chunks that fall together flip the same bits twice."""
+    out = np.zeros(-(-len(words) // FOLDED) * FOLDED, dtype=np.uint64)
+    out[: len(words)] = words
+    return np.bitwise_xor.reduce(out.reshape(-1, FOLDED), axis=0)
+
+
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, band, own, own_zeros, up, up_zeros) of every row of ``docs``.
+    """(doc_id, n, fp1, fp2, band, own, own_zeros, own_fold, up, up_zeros, up_fold) of every row of ``docs``.
 
     ``own`` is the sketch for partners of the same band or smaller, ``up`` the one with which the
     set takes part in the next larger band (null if no partner of that band can be linked);
@@ -95,7 +107,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 s = shingles(words(text), size)
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, -1, None, False, None, False))
+                    rows.append((0, 0, 0, -1, None, False, None, None, False, None))
                     continue
                 band = int(np.searchsorted(edges, n, side="right")) - 1
                 with np.errstate(over="ignore"):
@@ -107,12 +119,13 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     k, z = chunks_of(first, band + 1, percent)
                     up = sketch(s, k, band + 1)
                     up_zeros = int((up == 0).sum()) > z
-                rows.append((n, *fp, band, own.view(np.int64), own_zeros, None if up is None else up.view(np.int64), up_zeros))
-            out = pd.DataFrame(rows, columns=["n", "fp1", "fp2", "band", "own", "own_zeros", "up", "up_zeros"])
+                mine = (own.view(np.int64), own_zeros, fold(own).view(np.int64))
+                rows.append((n, *fp, band, *mine, *((None, False, None) if up is None else (up.view(np.int64), up_zeros, fold(up).view(np.int64)))))
+            out = pd.DataFrame(rows, columns=["n", "fp1", "fp2", "band", "own", "own_zeros", "own_fold", "up", "up_zeros", "up_fold"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n long, fp1 long, fp2 long, band int, own array<long>, own_zeros boolean, up array<long>, up_zeros boolean"
+    schema = "doc_id long, n long, fp1 long, fp2 long, band int, own array<long>, own_zeros boolean, own_fold array<long>, up array<long>, up_zeros boolean, up_fold array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
@@ -171,25 +184,28 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     Two texts link when 100 * intersection >= percent * union of their sets of ``size``-word
     shingles. ``n_links`` counts the verified links of the document's class (at most one link to
-    each chunk's star and those between components; copies of one class are not counted).
+    each chunk's star and those found between components; copies of one class are not counted).
     """
-    sk = written(sketches(docs, size, percent), "sketches")
+    full = written(sketches(docs, size, percent), "sketches")
+    sk = written(full.select("doc_id", "n", "fp1", "fp2"), "rows")
     have = sk.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # the row that stands for each class of equal sets
     reps = have.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"))
-    members = written(have.select("doc_id", "fp1", "fp2", "n").distinct().join(reps, ["fp1", "fp2", "n"]).select("doc_id", "fp1", "fp2", "n", "id"), "classes")
+    members = written(have.distinct().join(reps, ["fp1", "fp2", "n"]).select("doc_id", "fp1", "fp2", "n", "id"), "classes")
     stand = members.where(F.col("doc_id") == F.col("id")).select("id", "fp1", "fp2", "n")
-    shown = written(have.withColumnRenamed("doc_id", "id").join(stand, ["id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["id", "fp1", "fp2", "n"]).select("id", "n", "band", "own", "own_zeros", "up", "up_zeros"), "stand")
+    shown = full.withColumnRenamed("doc_id", "id").join(stand, ["id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["id", "fp1", "fp2", "n"])
+    shown = written(shown.drop("fp1", "fp2"), "stand")
+    discard(full)
 
     def keys(col: str, step: int) -> DataFrame:
         at = shown.where(F.col(col).isNotNull()).select("id", (F.col("band") + step).alias("level"), F.posexplode(col).alias("pos", "word"), F.col(f"{col}_zeros").alias("zeros"))
-        return at.where((F.col("word") != 0) | F.col("zeros")).select(F.xxhash64("level", "pos", "word").alias("key"), "id")
+        return at.where((F.col("word") != 0) | F.col("zeros")).select(F.xxhash64("level", "pos", "word").alias("key"), "id", F.lit(step).cast("byte").alias("step"))
 
-    rows = keys("own", 0).union(keys("up", 1))
-    stars = rows.groupBy("key").agg(F.min("id").alias("star"), F.max("id").alias("far")).where(F.col("star") != F.col("far")).select("key", "star")
-    hits = written(rows.join(stars, "key"), "hits")
-    pairs = hits.where(F.col("id") != F.col("star")).select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(pairs, "pairs")
+    # a running minimum needs no memory for the rows of a key
+    of_key = Window.partitionBy("key").orderBy("id")
+    rows = keys("own", 0).union(keys("up", 1)).withColumn("star", F.first("id").over(of_key)).withColumn("star_step", F.first("step").over(of_key))
+    hits = written(rows.where(F.col("id") != F.col("star")), "hits")
+    first = written(hits.select(F.col("star").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     in_pairs = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
     near = close(first, shown, percent)
     texts = written(
@@ -201,16 +217,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     same = members.where(F.col("doc_id") != F.col("id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     label = components(links, "star")
     # chunks that still hold more than one component
-    known = hits.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rest = written(known.join(open_keys, "key", "left_semi"), "open")
-    if not rest.isEmpty():
-        other = rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-        cross = rest.join(other, "key").where((F.col("c") < F.col("cb")) & (F.col("id") != F.col("b")))
-        cross = cross.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = verified(close(written(cross, "cross"), shown, percent), texts, size, percent)
-        links = written(links.union(more), "all-links")
-        label = None
+    star = label.select(F.col("id").alias("star"), F.col("component").alias("star_c"))
+    known = hits.join(label, "id", "left").join(star, "star", "left").select("key", "id", "step", "star", "star_step", F.coalesce("component", "id").alias("c"), F.coalesce("star_c", "star").alias("star_c"))
+    known = written(known, "known")
+    open_keys = known.where(F.col("c") != F.col("star_c")).groupBy("key").agg(F.min("star").alias("star"), F.min("star_step").alias("star_step"), F.min("star_c").alias("star_c"))
+    open_keys = written(open_keys, "open-keys")
+    rest = known.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "step", "c").union(open_keys.select("key", "star", "star_step", "star_c"))
+    folds = shown.select("id", "n", F.lit(0).cast("byte").alias("step"), F.col("own_fold").alias("f")).union(shown.where(F.col("up_fold").isNotNull()).select("id", "n", F.lit(1).cast("byte").alias("step"), F.col("up_fold").alias("f")))
+    rest = written(rest.join(folds, ["id", "step"]).select("key", "id", "c", "n", *(F.col("f")[i].alias(f"f{i}") for i in range(FOLDED))), "open")
+    other = rest.select("key", *(F.col(x).alias(f"{x}_b") for x in rest.columns if x != "key"))
+    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_b"))) for i in range(1, FOLDED)), F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_b"))))
+    may = (
+        (rest["key"] == other["key"])
+        & (F.col("c") < F.col("c_b"))
+        & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+        & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_b")))
+    )
+    cross = rest.join(other, may).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = verified(close(written(cross, "cross"), shown, percent), texts, size, percent)
+    links = written(links.union(more), "all-links")
     all_links = links.union(same)
     label = components(all_links, "final")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
