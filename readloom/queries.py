@@ -246,7 +246,7 @@ def shotgun_calls(spark, sf_dir):
     """All of the shotgun analysis: windows, sampler, variants, strand test, correction."""
     r = reads(spark, sf_dir)
     reference = pileup.consensus_sequences(pileup.base_counts(pileup.pileup(r)))
-    o = analysis.Options(win_coverage=COVER, most_sweeps=40, max_coverage=MOST * WIDTH, threshold=0.5)
+    o = analysis.Options(win_coverage=COVER, most_sweeps=40, max_coverage=MOST * WIDTH, threshold=0.05)
     calls = analysis.shotgun(spark, r, reference, o).calls
     return calls.select("chrom", "key_pos", "key_var", "pos", "ref", "var", "frq1", "frq2", "frq3", "fvar", "rvar", "ftot", "rtot", "pval", "qval")
 

@@ -45,10 +45,10 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
     # a split has fewer lines than bytes, so start + line number rises through the file
     first = F.min("row").over(Window.partitionBy("start", F.shiftright("row", 33)))
-    c = F.split("value", "\t")
+    c = lambda i: F.get(F.split("value", "\t"), F.lit(i))
     return lines.select(
         (F.col("start") + F.col("row") - first).alias("file_ord"),
-        c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("chrom"), (c[3].cast("int") - 1).alias("pos0"), c[5].alias("cigar"), c[9].alias("seq"),
+        c(0).alias("qname"), c(1).try_cast("int").alias("flag"), c(2).alias("chrom"), (c(3).try_cast("int") - 1).alias("pos0"), c(5).alias("cigar"), c(9).alias("seq"),
     )
 
 
