@@ -23,7 +23,7 @@ from readloom.llm.common import table, written
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, model, "__score").where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
