@@ -11,7 +11,7 @@
 4. Pairs whose sketches differ in more bits than allowed go; the rest is verified on the shingle
    sets of the whole texts.
 5. Chunks whose texts do not yet all hang together are joined with themselves across components.
-   The join's condition compares the sketches, folded to 512 bits (which keeps the lower bound), so
+   The join's condition compares the sketches, folded to 1024 bits (which keeps the lower bound), so
    only pairs that may be linked come out; they are verified alike. No link that could join two
    components is missed.
 6. Components by repeated minimum over the links with pointer jumping.
@@ -79,7 +79,7 @@ def sketch(sets: np.ndarray, chunks: int, salt: int) -> np.ndarray:
     return out
 
 
-FOLDED = 8
+FOLDED = 16
 
 
 def fold(words: np.ndarray) -> np.ndarray:
@@ -146,19 +146,43 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return label.select("id", F.col("c").alias("component"))
 
 
-def close(pairs: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sizes and sketches allow the similarity."""
-    side = lambda x: shown.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "own", "up")))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
-    at = lambda x: F.when(F.col(f"band_{x}") == F.greatest("band_a", "band_b"), F.col(f"own_{x}")).otherwise(F.col(f"up_{x}"))
-    apart = F.aggregate(F.zip_with(at("a"), at("b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("n_a") + F.col("n_b")
-    sized = p.where((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    return sized.where(apart * (100 + percent) <= (100 - percent) * total).select("a", "b")
+def allowed(percent: int, other: str):
+    """May two rows with n and f0, f1, ... and the same names ending in ``other`` be linked?
 
+    Compares their sizes and the Hamming distance of their folded sketches of one level.
+    """
+    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}{other}"))) for i in range(1, FOLDED)), F.bit_count(F.col("f0").bitwiseXOR(F.col(f"f0{other}"))))
+    n = F.col(f"n{other}")
+    return (100 * F.least("n", n) >= percent * F.greatest("n", n)) & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + n))
+
+
+ID_SLOTS = 1 << 20
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``pairs``.
+
+    A bitmap of fixed size (at most ID_SLOTS numbers come to the driver) keeps most other texts out
+    of the shuffle; the join then decides.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).cast("int")
+    hit = np.zeros(ID_SLOTS, dtype=bool)
+    hit[[r[0] for r in ids.select(slot("id")).distinct().collect()]] = True
+    packed = np.packbits(hit)
+
+    @F.pandas_udf("boolean")
+    def wanted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.unpackbits(packed).astype(bool)
+        for slots in batches:
+            yield pd.Series(bits[slots.to_numpy()])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("doc_id").isNotNull())
+    return d.where(wanted(slot("id"))).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole texts (id, text) reach the similarity."""
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole texts reach the similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -173,7 +197,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 keep.append(both > 0 and 100 * both >= percent * (len(kept) + len(other) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    t = texts.select("id", "text")
+    t = written(texts_of(pairs, docs), "texts")
     with_b = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
@@ -205,14 +229,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     of_key = Window.partitionBy("key").orderBy("id")
     rows = keys("own", 0).union(keys("up", 1)).withColumn("star", F.first("id").over(of_key)).withColumn("star_step", F.first("step").over(of_key))
     hits = written(rows.where(F.col("id") != F.col("star")), "hits")
-    first = written(hits.select(F.col("star").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    in_pairs = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    near = close(first, shown, percent)
-    texts = written(
-        docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(in_pairs, "id", "left_semi").dropDuplicates(["id", "text"]),
-        "texts",
-    )
-    links = written(verified(near, texts, size, percent), "links")
+    folds = shown.select("id", "n", F.lit(0).cast("byte").alias("step"), F.col("own_fold").alias("f")).union(shown.where(F.col("up_fold").isNotNull()).select("id", "n", F.lit(1).cast("byte").alias("step"), F.col("up_fold").alias("f")))
+    folds = folds.select("id", "n", "step", *(F.col("f")[i].alias(f"f{i}") for i in range(FOLDED)))
+    # a pair that meets at two levels is looked at in one
+    first = hits.groupBy(F.col("star").alias("a"), F.col("id").alias("b")).agg(F.min(F.struct("star_step", "step")).alias("s")).select("a", "b", F.col("s.star_step").alias("step_a"), F.col("s.step").alias("step_b"))
+    first = written(first, "pairs")
+    left = folds.withColumnsRenamed({"id": "a", "step": "step_a"})
+    right = folds.select(F.col("id").alias("b"), F.col("step").alias("step_b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *(f"f{i}" for i in range(FOLDED)))))
+    near = written(first.join(left, ["a", "step_a"]).join(right, ["b", "step_b"]).where(allowed(percent, "_b")).select("a", "b"), "near")
+    links = written(verified(near, docs, size, percent), "links")
     # texts with one doc_id but different sets belong together as one document
     same = members.where(F.col("doc_id") != F.col("id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     label = components(links, "star")
@@ -223,19 +248,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     open_keys = known.where(F.col("c") != F.col("star_c")).groupBy("key").agg(F.min("star").alias("star"), F.min("star_step").alias("star_step"), F.min("star_c").alias("star_c"))
     open_keys = written(open_keys, "open-keys")
     rest = known.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "step", "c").union(open_keys.select("key", "star", "star_step", "star_c"))
-    folds = shown.select("id", "n", F.lit(0).cast("byte").alias("step"), F.col("own_fold").alias("f")).union(shown.where(F.col("up_fold").isNotNull()).select("id", "n", F.lit(1).cast("byte").alias("step"), F.col("up_fold").alias("f")))
-    rest = written(rest.join(folds, ["id", "step"]).select("key", "id", "c", "n", *(F.col("f")[i].alias(f"f{i}") for i in range(FOLDED))), "open")
+    rest = written(rest.join(folds, ["id", "step"]).drop("step"), "open")
     other = rest.select("key", *(F.col(x).alias(f"{x}_b") for x in rest.columns if x != "key"))
-    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_b"))) for i in range(1, FOLDED)), F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_b"))))
-    may = (
-        (rest["key"] == other["key"])
-        & (F.col("c") < F.col("c_b"))
-        & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-        & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_b")))
-    )
-    cross = rest.join(other, may).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(close(written(cross, "cross"), shown, percent), texts, size, percent)
-    links = written(links.union(more), "all-links")
+    may = (rest["key"] == other["key"]) & (F.col("c") < F.col("c_b")) & allowed(percent, "_b")
+    cross = rest.join(other, may).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+    cross = written(cross.join(near, ["a", "b"], "left_anti"), "cross")
+    links = links if cross.isEmpty() else written(links.union(verified(cross, docs, size, percent)), "all-links")
     all_links = links.union(same)
     label = components(all_links, "final")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
