@@ -196,8 +196,10 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
                 out.append(t)
             yield pd.Series(out, dtype=object)
 
-    texts = docs.withColumn("row", F.xxhash64(*docs.columns)).dropDuplicates(["row"])
-    out = texts.join(runs.select("row", "begin", "end", "size"), "row").withColumn("text", stretch("text", "begin", "end", "size"))
+    # names of their own, as docs may have columns of any name
+    texts = docs.withColumn("__mix_row", F.xxhash64(*docs.columns)).dropDuplicates(["__mix_row"])
+    runs = runs.select(*(F.col(c).alias(f"__mix_{c}") for c in ("row", "begin", "end", "size")))
+    out = texts.join(runs, "__mix_row").withColumn("text", stretch("text", "__mix_begin", "__mix_end", "__mix_size"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

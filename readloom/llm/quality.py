@@ -129,8 +129,8 @@ def cut(texts: list[str]) -> bytes:
     return out[:DICT_BYTES]
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column ``score``: the probability of a good label, from the whole text."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of a good label, from the whole text."""
     *weights, offset = model["curve"]
 
     def rated(x: list[float]) -> float:
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for texts in batches:
             yield pd.Series([rated(coder(t)) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", rate("text"))
+    return docs.withColumn(name, rate("text"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

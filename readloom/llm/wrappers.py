@@ -269,9 +269,13 @@ def infer(pages: DataFrame, parts: int = 64) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, html, ...) with the article's ``text``, each by the wrapper of its host."""
-    keyed = pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
-    wrappers = infer(keyed.select("host", "html"))
+    """``pages`` (url, html, ...) with the article's ``text``, each by the wrapper of its host.
+
+    Other columns stay, but for one named ``text``, which is replaced.
+    """
+    # names of their own, as pages may have columns of any name
+    keyed = pages.withColumn("__host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
+    wrappers = infer(keyed.select(F.col("__host").alias("host"), "html")).withColumnsRenamed({"host": "__host", "wrapper": "__wrapper", "pages": "__pages"})
 
     @F.pandas_udf("string")
     def article(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -286,7 +290,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append("\n\n".join(text for path, text in blocks(page or "") if path in known[w]))
             yield pd.Series(out, dtype=object)
 
-    return keyed.join(wrappers, "host").withColumn("text", article("html", "wrapper", "pages")).drop("host", "wrapper", "pages")
+    return keyed.join(wrappers, "__host").withColumn("text", article("html", "__wrapper", "__pages")).drop("__host", "__wrapper", "__pages")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
