@@ -10,7 +10,8 @@ pair of blocks. Each pair of blocks gives k rows for each query at most, and a w
 
 Nulls: a row without id, or whose vector is null or holds a null or non-finite component, takes no
 part. Vectors of another length than the query's are not compared. Repeated ids stay separate
-candidates. An empty table gives an empty result.
+candidates; equal query rows are one query, different vectors of one id are queries of their own. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SCALE = 256
 PIVOTS = 24
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 1024
-OUT = "query_id long, vec_id long, score long"
+OUT = "query_id long, query_key long, vec_id long, score long"
 
 
 def as_integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -40,7 +41,7 @@ def as_integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
 
 def block_search(cand_id: np.ndarray, cand: np.ndarray, query_id: np.ndarray, query: np.ndarray, k: int, pivots: int) -> list[tuple[int, int, int]]:
-    """The k best rows of ``cand`` for each row of ``query``, exact, ties to the smaller id."""
+    """(i, id, score): the k best rows of ``cand`` for each row i of ``query``, exact, ties to the smaller id."""
     order = np.argsort(cand_id, kind="stable")
     cand_id, cand = cand_id[order], cand[order]
     cf, qf = cand.astype(np.float64), query.astype(np.float64)
@@ -72,7 +73,7 @@ def block_search(cand_id: np.ndarray, cand: np.ndarray, query_id: np.ndarray, qu
                 break
             part = rest[at : at + 256]
             best = sorted([*best, *zip((-(cand[part] @ query[i])).tolist(), cand_id[part].tolist(), strict=True)])[:k]
-        out += [(int(query_id[i]), vec, -neg) for neg, vec in best]
+        out += [(i, vec, -neg) for neg, vec in best]
     return out
 
 
@@ -82,20 +83,22 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS)
     row_blocks, query_blocks = max(1, -(-n_rows // ROWS_PER_BLOCK)), max(1, -(-n_queries // QUERIES_PER_BLOCK))
     dims = F.size("v").alias("dims")
     key = F.xxhash64("vec_id", "v")
+    queries = queries.dropDuplicates(["vec_id", "v"])
     left = rows.select("vec_id", "v", dims, F.pmod(key, F.lit(row_blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    right = queries.select("vec_id", "v", dims, F.pmod(key, F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
+    right = queries.select("vec_id", "v", dims, key.alias("query_key"), F.pmod(key, F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
 
     def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found: list = []
         if len(c) and len(q) and int(c["dims"].iloc[0]):
             found = block_search(c["vec_id"].to_numpy(), np.stack(c["v"].to_list()), q["vec_id"].to_numpy(), np.stack(q["v"].to_list()), k, pivots)
         elif len(c) and len(q):  # vectors without components: every score is 0
-            ids = np.sort(c["vec_id"].to_numpy())[: k + len(q) + 1]
-            found = [(x, v, 0) for x in q["vec_id"] for v in ids[ids != x][:k]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            ids = np.sort(c["vec_id"].to_numpy())
+            found = [(i, v, 0) for i, x in enumerate(q["vec_id"]) for v in ids[ids != x][:k]]
+        i, vec, score = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[i], "query_key": q["query_key"].to_numpy()[i], "vec_id": vec, "score": score}).astype("int64")
 
     near = left.groupBy("rb", "qb", "dims").cogroup(right.groupBy("rb", "qb", "dims")).applyInPandas(search, OUT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
