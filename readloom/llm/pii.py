@@ -116,14 +116,14 @@ def bitmap(terms: DataFrame) -> np.ndarray:
         return s.map(slot).astype("int32")
 
     hit = np.zeros(SLOTS, dtype=bool)
-    hit[[r[0] for r in terms.select(slots("term")).distinct().collect()]] = True
+    hit[terms.select(slots("term").alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype="int64")] = True
     return np.packbits(hit)
 
 
 class Hits:
     """Distinct terms of texts that are in the bitmap; remembers words it has seen."""
 
-    def __init__(self, packed: np.ndarray, most: int = 1 << 18) -> None:
+    def __init__(self, packed: np.ndarray, most: int = 1 << 16) -> None:
         self.bits = np.unpackbits(packed).astype(bool)
         self.seen: dict[str, str] = {}
         self.most = most
@@ -180,7 +180,7 @@ def disclosing_terms(base: DataFrame, docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 if text:
                     total.update(hits(set(text.split())))
-            if len(total) > 1 << 18:
+            if len(total) > 1 << 15:
                 yield pd.DataFrame(list(total.items()), columns=["term", "n"])
                 total.clear()
         yield pd.DataFrame(list(total.items()), columns=["term", "n"]).astype({"term": "object", "n": "int64"})
@@ -233,7 +233,7 @@ def find_disclosures(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by its kind, and disclosing terms generalised or removed."""
-    spans = found.select("key", F.concat(F.transform("spans", lambda s: F.struct(s["start"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))), F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["level"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("by")))).alias("all")).dropDuplicates(["key"])
+    spans = found.select("key", F.concat(F.transform("spans", lambda s: F.struct(s["start"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))), F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["level"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("by")))).alias("__all")).withColumnRenamed("key", "__key").dropDuplicates(["__key"])
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, marks: pd.Series) -> pd.Series:
@@ -247,8 +247,8 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
             out.append("".join([*parts, t[at:]]) if parts else t)
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumn("key", key_of(F.col("doc_id").cast("long"), F.col("text"))).join(spans, "key", "left")
-    return keyed.withColumn("text", clean("text", "all")).select(*docs.columns)
+    keyed = docs.withColumn("__key", key_of(F.col("doc_id").cast("long"), F.col("text"))).join(spans, "__key", "left")
+    return keyed.withColumn("text", clean("text", "__all")).select(*docs.columns)
 
 
 def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
