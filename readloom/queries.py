@@ -157,10 +157,12 @@ def two_of_three(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Second bases with at least 5 reads, and deletions that at least 2 reads show."""
+    """Second bases with at least 5 reads and 0.3 of a column, and deletions that at least 2 reads show."""
     r, n = reads(spark, sf_dir), _counts(spark, sf_dir)
     c = pileup.consensus(n).withColumnRenamed("base", "ref")
-    subs = n.join(c, ["chrom", "pos"]).where((F.col("base") != F.col("ref")) & (F.col("base") != "-") & (F.col("ref") != "-") & (F.col("n") >= 5))
+    depth = n.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"))
+    subs = n.join(c, ["chrom", "pos"]).join(depth, ["chrom", "pos"])
+    subs = subs.where((F.col("base") != F.col("ref")) & (F.col("base") != "-") & (F.col("ref") != "-") & (F.col("n") >= 5) & (10 * F.col("n") >= 3 * F.col("depth")))
     subs = subs.select("chrom", F.col("pos").cast("int").alias("pos"), "ref", F.col("base").alias("var"))
     runs = strand.gap_runs(r.select("chrom", "file_ord", "pos0", "gapped"), "chrom", "file_ord", "pos0")
     runs = runs.groupBy("chrom", (F.col("pos0") + F.col("start")).alias("pos"), "size").agg(F.count("*").alias("n")).where("n >= 2 and pos > 0")
@@ -374,7 +376,8 @@ ORACLES = {
     "strand_counts": f"""WITH {_COUNTS}, {_CONS},
       gaps AS (SELECT rid, chrom, pos0, min(i) AS start, count(*) AS size FROM (
           SELECT *, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS island FROM (SELECT rid, chrom, pos0, seq, unnest(range(0, length(seq))) AS i FROM reads) WHERE substr(seq, i::INTEGER + 1, 1) = '-') GROUP BY rid, chrom, pos0, island),
-      v AS (SELECT c.chrom, c.pos, k.base AS ref, c.base AS var, c.pos AS lo, c.pos AS hi FROM counts c JOIN cons k ON k.chrom = c.chrom AND k.pos = c.pos WHERE c.base <> k.base AND c.base <> '-' AND k.base <> '-' AND n >= 5
+      v AS (SELECT c.chrom, c.pos, k.base AS ref, c.base AS var, c.pos AS lo, c.pos AS hi FROM (SELECT *, sum(n) OVER (PARTITION BY chrom, pos) AS depth FROM counts) c
+          JOIN cons k ON k.chrom = c.chrom AND k.pos = c.pos WHERE c.base <> k.base AND c.base <> '-' AND k.base <> '-' AND n >= 5 AND 10 * n >= 3 * depth
         UNION ALL
         SELECT d.chrom, pos, substr(seq, pos::INTEGER, size::INTEGER + 1), substr(seq, pos::INTEGER, 1), pos + 1, pos + size FROM (
           SELECT chrom, pos0 + start AS pos, size FROM gaps GROUP BY ALL HAVING count(*) >= 2) d JOIN genome g ON g.chrom = d.chrom WHERE pos > 0),
