@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spread, table, written
 from .hashing import Words, mix
 
 WEIGHTS = (5, 2, 1)
@@ -145,7 +145,9 @@ def slots(spark: SparkSession, sources: pd.DataFrame, block: int = BLOCK, seed:
                     taken = np.where(turn == passes[s], np.minimum(taken, np.maximum(0, rest[s] - (part % blocks[s]) * block)), taken)
                     yield pd.DataFrame({"no": np.full(len(part), no[s], dtype=np.int32), "pass": turn.astype(np.int32), "block": index, "words": taken})
 
-    return ranges.select("s", "from", "n").mapInPandas(fill, "no int, pass int, block long, words long")
+    # the windows leave few partitions; filling slots is spread over all
+    ranges = ranges.select("s", "from", "n").repartition(spread(spark), "s", "from")
+    return ranges.mapInPandas(fill, "no int, pass int, block long, words long")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -164,10 +166,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOC
     table_ = pd.DataFrame({"no": range(len(sizes)), "size": sizes, "target": targets(sizes, weights)})
     names = spark.createDataFrame([(r["source"], i, t) for i, (r, t) in enumerate(zip(found, table_["target"], strict=True))], "of_source string, no int, target double")
     d = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "source", "row", "no", "at", "size", "source_size", "target")  # MAX_SOURCES rows at most
-    spread = d.where(F.col("size") > 0).select("row", "no", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
-    spread = spread.withColumn("begin", F.greatest(F.lit(0), F.col("at") - F.col("block") * block)).withColumn("end", F.least(F.lit(block), F.col("at") + F.col("size") - F.col("block") * block))
+    parts = d.where(F.col("size") > 0).select("row", "no", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
+    parts = parts.withColumn("begin", F.greatest(F.lit(0), F.col("at") - F.col("block") * block)).withColumn("end", F.least(F.lit(block), F.col("at") + F.col("size") - F.col("block") * block))
     taken = slots(spark, table_, block, seed)
-    pieces = spread.join(taken, ["no", "block"]).where(F.col("words") > F.col("begin"))
+    # slots are as many as blocks, whatever Spark makes of the small table they come from: no broadcast
+    pieces = parts.join(taken.hint("merge"), ["no", "block"]).where(F.col("words") > F.col("begin"))
     offset = F.col("block") * block - F.col("at")
     return d, pieces.select("row", "no", "at", "size", "pass", (F.col("begin") + offset).alias("begin"), (F.least("end", "words") + offset).alias("end"))
 
