@@ -1,11 +1,13 @@
 """N-gram Jaccard self-join with parity sketches (operator 3).
 
-1. Every whole text becomes its set of word shingles (64-bit hashes) and one or two parity sketches:
-   the set is dealt into K chunks, and in each chunk every shingle flips one of 64 bits. A shingle
-   in only one of two sets flips one bit, so the Hamming distance of two sketches is at most the
-   size of the symmetric difference. For each band of set sizes, K is one more than the largest
-   symmetric difference that the threshold allows, so linked texts agree in at least one chunk.
-2. Equal sets are collapsed into a class with one representative.
+1. Every whole text becomes its set of word shingles (64-bit hashes). Equal sets are collapsed into
+   a class with one representative.
+2. A representative has one or two parity sketches: its set is dealt into K chunks, and in each
+   chunk every shingle flips one of 64 bits (and its hash is XORed into the chunk's join key). A
+   shingle in only one of two sets flips one bit, so the Hamming distance of two sketches is at most
+   the size of the symmetric difference, and a chunk without such a shingle is equal. For each band
+   of set sizes, K is more than the largest symmetric difference that the threshold allows, so
+   linked texts agree in at least one chunk.
 3. Representatives that agree in a chunk meet: each first with the smallest id of the chunk (a
    star, so a large group of copies gives a row for each copy and not for each pair).
 4. Pairs whose sketches differ in more bits than allowed go; the rest is verified on the shingle
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import table, written
 from .hashing import Words, mix, shingles
 
 U64 = np.uint64
@@ -66,17 +68,24 @@ def chunks_of(first: list[int], band: int, percent: int) -> tuple[int, int]:
     return t + 1 + z, z
 
 
-def sketch(sets: np.ndarray, chunks: int, salt: int) -> np.ndarray:
-    """Parity words of one set: chunk by one hash, bit within the chunk by another."""
+KEY_BITS = 48
+
+
+def sketch(sets: np.ndarray, chunks: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, keys) of one set, by chunk: parity words of 64 bits, and XOR-hashes of KEY_BITS bits.
+
+    An element's hash chooses its chunk. Both are unchanged by elements in other chunks; the bits
+    give distances, the keys tell different chunks apart for the join. An empty chunk has key 0.
+    """
     h = mix(sets ^ U64(salt))
     chunk = ((h >> U64(32)) * U64(chunks)) >> U64(32)
-    bits = U64(1) << (h & U64(63))
     order = np.argsort(chunk, kind="stable")
-    chunk, bits = chunk[order].astype(np.int64), bits[order]
+    chunk, h = chunk[order].astype(np.int64), h[order]
     first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-    out = np.zeros(chunks, dtype=np.uint64)
-    out[chunk[first]] = np.bitwise_xor.reduceat(bits, first)
-    return out
+    bits, keys = np.zeros(chunks, dtype=np.uint64), np.zeros(chunks, dtype=np.uint64)
+    bits[chunk[first]] = np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), first)
+    keys[chunk[first]] = np.bitwise_xor.reduceat(mix(h) >> U64(64 - KEY_BITS) | U64(1), first)
+    return bits, keys
 
 
 FOLDED = 16
@@ -89,12 +98,33 @@ def fold(words: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(out.reshape(-1, FOLDED), axis=0)
 
 
+def fingerprint_of(sets: np.ndarray) -> tuple[int, int]:
+    """Two numbers that stand for a set of hashes."""
+    with np.errstate(over="ignore"):
+        one, two = (int(mix(sets + U64(k)).sum().astype(np.int64)) for k in (1, 2))
+    return one, two
+
+
+def set_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, fp1, fp2) of every row of ``docs``: the size and fingerprint of its shingle set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            rows = [(len(s), *fingerprint_of(s)) for s in (shingles(words(t), size) for t in batch["text"])]
+            out = pd.DataFrame(rows, columns=["n", "fp1", "fp2"])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            yield out.astype({"doc_id": "Int64"})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, fp1 long, fp2 long")
+
+
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, fp1, fp2, band, own, own_zeros, own_fold, up, up_zeros, up_fold) of every row of ``docs``.
 
-    ``own`` is the sketch for partners of the same band or smaller, ``up`` the one with which the
+    ``own`` has the chunk keys for partners of the same band or smaller, ``up`` those with which the
     set takes part in the next larger band (null if no partner of that band can be linked);
-    ``*_zeros`` tells that the sketch also has to meet others at its zero chunks.
+    ``*_fold`` is the folded parity sketch; ``*_zeros`` tells that the set also has to meet others at its empty chunks.
     """
     first = bands()
 
@@ -110,17 +140,16 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     rows.append((0, 0, 0, -1, None, False, None, None, False, None))
                     continue
                 band = int(np.searchsorted(edges, n, side="right")) - 1
-                with np.errstate(over="ignore"):
-                    fp = [int(mix(s + U64(k)).sum().astype(np.int64)) for k in (1, 2)]
+                fp = fingerprint_of(s)
                 k, z = chunks_of(first, band, percent)
-                own, up, up_zeros = sketch(s, k, band), None, False
+                bits, own = sketch(s, k, band)
+                rest = (None, False, None)
                 own_zeros = int((own == 0).sum()) > z
                 if 100 * n >= percent * first[band + 1]:
                     k, z = chunks_of(first, band + 1, percent)
-                    up = sketch(s, k, band + 1)
-                    up_zeros = int((up == 0).sum()) > z
-                mine = (own.view(np.int64), own_zeros, fold(own).view(np.int64))
-                rows.append((n, *fp, band, *mine, *((None, False, None) if up is None else (up.view(np.int64), up_zeros, fold(up).view(np.int64)))))
+                    up_bits, up = sketch(s, k, band + 1)
+                    rest = (up.view(np.int64), int((up == 0).sum()) > z, fold(up_bits).view(np.int64))
+                rows.append((n, *fp, band, own.view(np.int64), own_zeros, fold(bits).view(np.int64), *rest))
             out = pd.DataFrame(rows, columns=["n", "fp1", "fp2", "band", "own", "own_zeros", "own_fold", "up", "up_zeros", "up_fold"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
@@ -159,26 +188,31 @@ def allowed(percent: int, other: str):
 ID_SLOTS = 1 << 20
 
 
-def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ``pairs``.
+def among(ids: DataFrame):
+    """A condition that a column of ids holds for all of ``ids`` (id), and for few others while they are few.
 
-    A bitmap of fixed size (at most ID_SLOTS numbers come to the driver) keeps most other texts out
-    of the shuffle; the join then decides.
+    It is a bitmap of fixed size; at most ID_SLOTS numbers come to the driver. What it lets through
+    wrongly has to be sorted out by a join.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).cast("int")
     hit = np.zeros(ID_SLOTS, dtype=bool)
-    hit[[r[0] for r in ids.select(slot("id")).distinct().collect()]] = True
+    hit[ids.select(slot(F.col("id")).alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype="int64")] = True
     packed = np.packbits(hit)
 
     @F.pandas_udf("boolean")
-    def wanted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bits = np.unpackbits(packed).astype(bool)
         for slots in batches:
             yield pd.Series(bits[slots.to_numpy()])
 
+    return lambda c: test(slot(c))
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``pairs``; the bitmap keeps most others out of the shuffle."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("doc_id").isNotNull())
-    return d.where(wanted(slot("id"))).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    return d.where(among(ids)(F.col("id"))).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -210,16 +244,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shingles. ``n_links`` counts the verified links of the document's class (at most one link to
     each chunk's star and those found between components; copies of one class are not counted).
     """
-    full = written(sketches(docs, size, percent), "sketches")
-    sk = written(full.select("doc_id", "n", "fp1", "fp2"), "rows")
+    sk = written(set_fingerprints(docs, size), "rows")
     have = sk.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # the row that stands for each class of equal sets
     reps = have.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"))
-    members = written(have.distinct().join(reps, ["fp1", "fp2", "n"]).select("doc_id", "fp1", "fp2", "n", "id"), "classes")
+    classes = have.groupBy("doc_id", "fp1", "fp2", "n").agg(F.count("*").alias("times"))
+    members = written(classes.join(reps, ["fp1", "fp2", "n"]).select("doc_id", "fp1", "fp2", "n", "id", "times"), "classes")
     stand = members.where(F.col("doc_id") == F.col("id")).select("id", "fp1", "fp2", "n")
-    shown = full.withColumnRenamed("doc_id", "id").join(stand, ["id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["id", "fp1", "fp2", "n"])
-    shown = written(shown.drop("fp1", "fp2"), "stand")
-    discard(full)
+    # rows that cannot be copies get their sketches without a shuffle; the others are looked up
+    doubtful = among(members.where((F.col("doc_id") != F.col("id")) | (F.col("times") > 1)).select(F.col("doc_id").alias("id")))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    sure = sketches(d.where(~doubtful(F.col("doc_id"))), size, percent)
+    looked_up = sketches(d.where(doubtful(F.col("doc_id"))), size, percent).join(stand.withColumnRenamed("id", "doc_id"), ["doc_id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2", "n"])
+    shown = sure.unionByName(looked_up).where(F.col("n") > 0).withColumnRenamed("doc_id", "id").drop("fp1", "fp2")
+    shown = written(shown, "stand")
 
     def keys(col: str, step: int) -> DataFrame:
         at = shown.where(F.col(col).isNotNull()).select("id", (F.col("band") + step).alias("level"), F.posexplode(col).alias("pos", "word"), F.col(f"{col}_zeros").alias("zeros"))

@@ -160,7 +160,7 @@ def test_sketch_distance_is_a_lower_bound():
     for n in (5, 50, 700):
         a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
         b = np.unique(np.r_[a[n // 10 :], rng.integers(0, 1 << 60, n // 9 + 1).astype(np.uint64)])
-        x, y = ngram_join.sketch(a, 40, 3), ngram_join.sketch(b, 40, 3)
+        x, y = ngram_join.sketch(a, 40, 3)[0], ngram_join.sketch(b, 40, 3)[0]
         apart = len(np.setxor1d(a, b))
         bits = lambda v: int(np.unpackbits(v.view(np.uint8)).sum())
         assert bits(ngram_join.fold(x) ^ ngram_join.fold(y)) <= bits(x ^ y) <= apart
