@@ -3,11 +3,13 @@ r"""Main text of web pages by union-free regular-expression inference (operator
 The pages of a host are token streams of tags and text. Streams are aligned pairwise: tokens that
 only one of two has become an optional group, neighbouring runs of the same tags a repeated group,
 and text that differs a text slot (text that never differs stays a constant of the template). The
-result, without unions, is the wrapper of the host. Its slots are then sorted: the article is what
-lies in the host's main element (``article``, ``main`` or an element marked so), without the parts
-marked as menu, header, footer, sidebar, notice, advert, form or comments; a host without such an
-element keeps the slots outside those parts whose text is not a constant. Each page is read again
-with the slots of its host: every block of text in a kept slot, in page order.
+result, without unions, is the wrapper of the host. Each page is then matched with the wrapper of
+its host, so that every block of its text falls into a slot. The article is what lies in the page's
+main element (``article``, ``main`` or an element marked so), without the parts marked as menu,
+header, footer, sidebar, notice, advert, form or comments; a page without such an element keeps the
+blocks outside those parts. Blocks in slots of fixed template text go: slots whose text is the same
+on two or more pages of different content (copies of a page are no evidence), in the main element
+only if every page with that element has them.
 
 Every page takes part in its host's wrapper. Pages of one structure are folded in the task that
 reads them, then distinct structures by (host, part), then by host; merging gives a wrapper no
@@ -20,6 +22,8 @@ references stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import json
 import re
@@ -111,13 +115,14 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
 
 
 # A wrapper is a list of nodes [kind, key, inside]: "e" an element (key: label), "t" text (key: "#",
-# inside: the constant, or null for a slot), "?" an optional group, "+" a repeated one.
+# inside: the constant, or null for a slot, and up to two contents of pages that have it), "?" an
+# optional group, "+" a repeated one.
 
 
-def tree(found: list[tuple[tuple[str, ...], str]]) -> list:
-    """Nodes of one page. Blocks that follow each other share the elements that their paths share."""
+def grown(found: list[tuple[tuple[str, ...], str]], leaves: list) -> list:
+    """Elements of one page. Blocks that follow each other share the elements that their paths share."""
     root: list = []
-    for path, text in found:
+    for (path, _), leaf in zip(found, leaves, strict=True):
         level = root
         fresh = False
         for label in path:
@@ -125,8 +130,17 @@ def tree(found: list[tuple[tuple[str, ...], str]]) -> list:
                 level.append(["e", label, []])
                 fresh = True
             level = level[-1][2]
-        level.append(["t", "#", text if len(text) <= LONGEST_CONSTANT else None])
-    return folded(root)
+        level.append(["t", "#", leaf])
+    return root
+
+
+def tree(found: list[tuple[tuple[str, ...], str]]) -> list:
+    """Nodes of one page."""
+    kinds = [standing(path) for path, _ in found]
+    wanted = "main" if "main" in kinds else "rest"
+    content = "\n".join(text for (_, text), kind in zip(found, kinds, strict=True) if kind == wanted)
+    seen = [int.from_bytes(hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")]
+    return folded(grown(found, [[text if len(text) <= LONGEST_CONSTANT else None, seen] for _, text in found]))
 
 
 def inner(node: list) -> list:
@@ -139,7 +153,8 @@ def same(a: list, b: list) -> list:
         kind = "+" if "+" in (a[0], b[0]) else "?"
         return [kind, a[1], aligned(inner(a), inner(b))]
     if a[0] == "t":
-        return ["t", "#", a[2] if a[2] == b[2] else None]
+        (x, seen), (y, others) = a[2], b[2]
+        return ["t", "#", [x if x == y else None, sorted({*seen, *others})[:2]]]
     return ["e", a[1], aligned(a[2], b[2])]
 
 
@@ -205,53 +220,114 @@ def is_main(label: str) -> bool:
     return name in MAIN_TAGS or name not in ("html", "body", "p") and not MAIN_WORDS.isdisjoint(marks)
 
 
-def slots(nodes: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str | None]]:
-    """(path, constant or None) of every text of a wrapper."""
-    for kind, key, x in nodes:
-        if kind == "t":
-            yield path, x
-        else:
-            yield from slots(x, path if kind in "?+" else (*path, key))
+@functools.lru_cache(1 << 14)
+def standing(path: tuple[str, ...]) -> str:
+    """Where a block lies: in the ``main`` element, ``out`` of the article, or in the ``rest``."""
+    within = False
+    for label in path:
+        if outside(label, within):
+            return "out"
+        within |= is_main(label)
+    return "main" if within else "rest"
+
+
+class Level:
+    """The nodes of one level of a wrapper in their order, to be matched with the elements of a page."""
+
+    def __init__(self, nodes: list, path: tuple[str, ...] = (), varied: bool = False) -> None:
+        self.path = path
+        self.inside: list[Level | bool] = []  # the level of an element; of a text, is it fixed
+        self.at: dict[str, list[int]] = {}  # key: its positions
+        self.required = [0]  # nodes before each position that are in no optional group
+        self.loops: list[tuple[int, int]] = []
+        self._add(nodes, varied, False)
+
+    def _add(self, nodes: list, varied: bool, optional: bool) -> None:
+        for kind, key, x in nodes:
+            if kind in "?+":
+                first = len(self.inside)
+                self._add(x, True, optional or kind == "?")
+                if kind == "+":
+                    self.loops.append((first, len(self.inside)))
+                continue
+            self.at.setdefault(key, []).append(len(self.inside))
+            self.required.append(self.required[-1] + (not optional))
+            if kind == "t":
+                constant, seen = x
+                self.inside.append(constant is not None and len(seen) > 1 and not (varied and standing(self.path) == "main"))
+            else:
+                path = (*self.path, key)
+                enters = standing(path) == "main" != standing(self.path)
+                self.inside.append(Level(x, path, varied and not enters))
+
+    def step(self, p: int, q: int) -> int:
+        """Required nodes that are left out when position q follows p; many if it cannot."""
+        n = self.required
+        if q > p:
+            return n[q] - n[p + 1]
+        return min((n[stop] - n[p + 1] + n[q] - n[first] for first, stop in self.loops if first <= q and p < stop), default=1000 + len(n))
+
+    def match(self, nodes: list, fixed: list[bool]) -> None:
+        """Sets ``fixed`` of the blocks below ``nodes`` (elements of a page with block numbers) by their slots."""
+        known = [x for x in nodes if x[1] in self.at]
+        ways: list[dict[int, tuple[int, int]]] = [{-1: (0, -1)}]  # position: least cost, position before
+        for _, key, _ in known:
+            ways.append({q: min((cost + self.step(p, q), p) for p, (cost, _) in ways[-1].items()) for q in self.at[key]})
+        end = len(self.inside)
+        at = min(ways[-1], key=lambda p: ways[-1][p][0] + self.step(p, end))
+        for (kind, _, x), way in zip(reversed(known), reversed(ways), strict=False):
+            if kind == "t":
+                fixed[x] = self.inside[at]
+            else:
+                self.inside[at].match(x, fixed)
+            at = way[at][1]
+
+    def texts(self) -> Iterator[tuple[tuple[str, ...], bool]]:
+        """(path, is it fixed) of every text."""
+        for x in self.inside:
+            if isinstance(x, Level):
+                yield from x.texts()
+            else:
+                yield self.path, x
 
 
 def kept_paths(wrapper: list, pages: int) -> list[list[str]]:
-    """Paths of the text slots that make up the article."""
-    main, rest = [], []
-    for path, constant in slots(wrapper):
-        within = dropped = False
-        for label in path:
-            dropped |= outside(label, within)
-            within |= not dropped and is_main(label)
-        if dropped:
-            continue
-        if within:
-            main.append(path)
-        elif constant is None or pages == 1:
-            rest.append(path)
-    return [list(p) for p in dict.fromkeys(main or rest)]
+    """Paths of the text slots that may hold a page's article."""
+    found = [path for path, fixed in Level(wrapper).texts() if standing(path) != "out" and (pages == 1 or not fixed)]
+    return [list(p) for p in dict.fromkeys(found)]
+
+
+def article(page: str | None, wrapper: Level) -> str:
+    """The article of a page by the wrapper of its host."""
+    found = list(blocks(page or ""))
+    fixed = [False] * len(found)
+    wrapper.match(grown(found, list(range(len(found)))), fixed)
+    kinds = [standing(path) for path, _ in found]
+    wanted = "main" if "main" in kinds else "rest"
+    return "\n\n".join(text for (_, text), kind, drop in zip(found, kinds, fixed, strict=True) if kind == wanted and not drop)
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-PART = "host string, shape string, pages long, wrapper string"
+PART = "host string, shape string, wrapper string"
 
 
 def infer(pages: DataFrame, parts: int = 64) -> DataFrame:
-    """(host, wrapper, kept): the wrapper of each host of ``pages`` (host, html), as JSON."""
+    """(host, wrapper): the wrapper of each host of ``pages`` (host, html), as JSON."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], list] = {}
 
         def out() -> pd.DataFrame:
-            rows = [(h, s, n, json.dumps(w)) for (h, s), (n, w) in seen.items()]
+            rows = [(h, s, json.dumps(w)) for (h, s), w in seen.items()]
             seen.clear()
-            return pd.DataFrame(rows, columns=["host", "shape", "pages", "wrapper"])
+            return pd.DataFrame(rows, columns=["host", "shape", "wrapper"])
 
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"], strict=True):
                 nodes = tree(list(blocks(page or "")))
                 key = (host, shape(nodes))
-                n, old = seen.get(key, (0, None))
-                seen[key] = [n + 1, nodes if old is None else aligned(old, nodes)]
+                old = seen.get(key)
+                seen[key] = nodes if old is None else aligned(old, nodes)
             if len(seen) > 5000:
                 yield out()
         if seen:
@@ -261,11 +337,11 @@ def infer(pages: DataFrame, parts: int = 64) -> DataFrame:
         whole = None
         for text in group.sort_values("shape")["wrapper"]:
             whole = json.loads(text) if whole is None else aligned(whole, json.loads(text))
-        return pd.DataFrame([(group["host"].iloc[0], shape(whole), int(group["pages"].sum()), json.dumps(whole))], columns=["host", "shape", "pages", "wrapper"])
+        return pd.DataFrame([(group["host"].iloc[0], shape(whole), json.dumps(whole))], columns=["host", "shape", "wrapper"])
 
     found = pages.mapInPandas(read, PART)
     by_part = found.withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(parts))).groupBy("host", "part").applyInPandas(merge, PART)
-    return by_part.groupBy("host").applyInPandas(merge, PART).select("host", "pages", "wrapper")
+    return by_part.groupBy("host").applyInPandas(merge, PART).select("host", "wrapper")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -275,22 +351,22 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     # names of their own, as pages may have columns of any name
     keyed = pages.withColumn("__host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
-    wrappers = infer(keyed.select(F.col("__host").alias("host"), "html")).withColumnsRenamed({"host": "__host", "wrapper": "__wrapper", "pages": "__pages"})
+    wrappers = infer(keyed.select(F.col("__host").alias("host"), "html")).withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"})
 
     @F.pandas_udf("string")
-    def article(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, set] = {}
-        for pages_, wrapper, count in batches:
+    def articles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str, Level] = {}
+        for pages_, wrapper in batches:
             out = []
-            for page, w, n in zip(pages_, wrapper, count, strict=True):
+            for page, w in zip(pages_, wrapper, strict=True):
                 if w not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[w] = {tuple(p) for p in kept_paths(json.loads(w), int(n))}
-                out.append("\n\n".join(text for path, text in blocks(page or "") if path in known[w]))
+                    known[w] = Level(json.loads(w))
+                out.append(article(page, known[w]))
             yield pd.Series(out, dtype=object)
 
-    return keyed.join(wrappers, "__host").withColumn("text", article("html", "__wrapper", "__pages")).drop("__host", "__wrapper", "__pages")
+    return keyed.join(wrappers, "__host").withColumn("text", articles("html", "__wrapper")).drop("__host", "__wrapper")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,19 @@ def test_constant_text_outside_an_article_is_template():
     assert wrappers.kept_paths(whole, 3) == [["body", "div.y", "p"]]
 
 
+def test_pages_of_mixed_templates_are_read_by_their_own_slots(spark):
+    story = lambda i: f"<body><nav>menu</nav><article><h2>Our paper</h2><p>story {i}</p></article></body>"
+    plain = lambda i: f"<body><nav>menu</nav><div class='box'><h2>Welcome</h2><p>note {i}</p></div></body>"
+    rows = [(i, "http://a.example.com/", story(i)) for i in range(4)] + [(10 + i, "http://a.example.com/", plain(i)) for i in range(4)]
+    rows += [(20, None, story(1)), (21, "odd", "<body><p>no main</p></body>")]
+    rows += [(30 + i, "http://copies.example.com/", f"<body><div class='ad'>{i}</div><p>one page</p></body>") for i in range(3)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"story {i}" for i in range(4)]
+    assert [got[10 + i] for i in range(4)] == [f"note {i}" for i in range(4)]
+    assert got[20] == "Our paper\n\nstory 1" and got[21] == "no main"
+    assert {got[30 + i] for i in range(3)} == {"one page"}
+
+
 def test_pages_of_the_tables(spark):
     for r in wrappers.extract(spark.read.parquet(f"{SF}/pages.parquet").withColumn("own", F.lit(1))).collect():
         body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
