@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import dna, stats
 from .operators import haplotypes, merge, pileup, snv, strand, windows
-from .operators.sampler import Params, sample_windows
+from .operators.sampler import sample_windows
 from .plans import analysis
 
 WIDTH, SHIFT, OVERLAP, MOST, COVER, STEPS, ENTROPY_WIDTH = 201, 67, 170, 50, 20, 30, 73
@@ -237,8 +237,8 @@ def corrected_reads(spark, sf_dir):
 
 
 def dpm_haplotypes(spark, sf_dir):
-    """The sampler over all covered windows; short runs, as noise has no haplotypes to find."""
-    found = sample_windows(windows.collapse(_covered(spark, sf_dir)), Params(most=40))
+    """The sampler over all covered windows."""
+    found = sample_windows(windows.collapse(_covered(spark, sf_dir)))
     return found.where("kind = 'hap'").select("chrom", "beg", "hap", "support", "ave_reads", "posterior")
 
 
@@ -246,7 +246,7 @@ def shotgun_calls(spark, sf_dir):
     """All of the shotgun analysis: windows, sampler, variants, strand test, correction."""
     r = reads(spark, sf_dir)
     reference = pileup.consensus_sequences(pileup.base_counts(pileup.pileup(r)))
-    o = analysis.Options(win_coverage=COVER, most_sweeps=40, max_coverage=MOST * WIDTH, threshold=0.05)
+    o = analysis.Options(win_coverage=COVER, max_coverage=MOST * WIDTH)
     calls = analysis.shotgun(spark, r, reference, o).calls
     return calls.select("chrom", "key_pos", "key_var", "pos", "ref", "var", "frq1", "frq2", "frq3", "fvar", "rvar", "ftot", "rtot", "pval", "qval")
 
