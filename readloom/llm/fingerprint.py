@@ -4,8 +4,9 @@ A text is its words (A-Z lower-cased) weighted by how often they occur. Each of
 draws, for every weighted term, from gamma variables that hang on the term and the sample alone,
 and keeps the term with the smallest draw together with its quantised weight. Two texts keep the
 same pair with a probability that equals their generalised Jaccard similarity, the sum of the
-smaller weights over the sum of the larger ones. Terms are hashed into ``TERMS`` slots (weights of
-terms in one slot add up), so that the gamma variables stand in one table of fixed size.
+smaller weights over the sum of the larger ones. The gamma variables come from a hash of the word's
+64-bit hash and the sample, so distinct words have draws of their own whatever the vocabulary; those
+of the last words stand in a table of fixed size.
 
 Nulls: a null text is empty; texts without words share the fingerprint of the empty bag, and their
 likeness to each other is 1. Rows without doc_id stand after all others (before none, in descending
@@ -24,48 +25,69 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import spread, table, written
-from .hashing import Words
+from .hashing import U64, Words, mix
 
 SAMPLES = 64
-TERMS = 1 << 14
+#: Words whose draws are at hand, and words drawn at once.
+CACHED, CHUNK = 1 << 15, 2048
 SEED = 20
 
 
 class Sampler:
     """Weighted samples of texts: 16 bits for each sample."""
 
-    def __init__(self, samples: int = SAMPLES, terms: int = TERMS, seed: int = SEED) -> None:
-        rng = np.random.default_rng(seed)
-        shape = (terms, samples)
-        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.beta = rng.random(shape, dtype=np.float32)
-        # ln(c) of the second gamma variable, less r: what the draw needs besides t
-        self.lead = (np.log(rng.gamma(2.0, 1.0, shape)) - self.r).astype(np.float32)
-        self.samples, self.terms = samples, terms
+    def __init__(self, samples: int = SAMPLES, seed: int = SEED) -> None:
+        self.streams = mix(np.arange(1, 2 * samples + 1, dtype=np.uint64) + U64(seed << 32)).reshape(2, samples)
+        self.samples = samples
         self.words = Words()
+        self.held = np.arange(1, CACHED + 1, dtype=np.uint64)  # a word that belongs to another place
+        self.table = np.zeros((CACHED, 3, samples), dtype=np.float32)
+
+    def _drawn(self, words: np.ndarray) -> np.ndarray:
+        """r, beta and lead of words: lead is ln(c) less r, what the draw needs besides t."""
+        x, y = (mix(words[:, None] + stream) for stream in self.streams)
+
+        def unit(bits: np.ndarray) -> np.ndarray:
+            return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+
+        low = U64((1 << 23) - 1)
+        gamma = [-np.log(unit(z >> U64(41)) * unit((z >> U64(18)) & low)) for z in (x, y)]
+        beta = unit(((x & U64((1 << 18) - 1)) << U64(5)) | (y & U64(31)))
+        return np.stack((gamma[0], beta, np.log(gamma[1]) - gamma[0]), axis=1)
+
+    def _at_hand(self, words: np.ndarray) -> np.ndarray:
+        place = (words & U64(CACHED - 1)).astype(np.int64)
+        out = self.table[place]
+        new = np.flatnonzero(self.held[place] != words)
+        if len(new):
+            out[new] = self._drawn(words[new])
+            # of words with one place, one is held
+            place, one = np.unique(place[new], return_index=True)
+            self.held[place] = words[new[one]]
+            self.table[place] = out[new[one]]
+        return out
 
     def __call__(self, text: str | None) -> str:
-        slots, weights = np.unique((self.words(text) % np.uint64(self.terms)).astype(np.int64), return_counts=True)
-        if not len(slots):
+        words, weights = np.unique(self.words(text), return_counts=True)
+        if not len(words):
             return "ffff" * self.samples
         log_w = np.log(weights).astype(np.float32)[:, None]
         best = np.full(self.samples, np.inf, dtype=np.float32)
-        term = np.zeros(self.samples, dtype=np.int64)
+        term = np.zeros(self.samples, dtype=np.uint64)
         level = np.zeros(self.samples, dtype=np.int64)
-        for at in range(0, len(slots), 2048):
-            part = slots[at : at + 2048]
-            r, beta = self.r[part], self.beta[part]
-            t = np.floor(log_w[at : at + 2048] / r + beta)
-            draw = self.lead[part] - r * (t - beta)
+        for at in range(0, len(words), CHUNK):
+            part = words[at : at + CHUNK]
+            r, beta, lead = self._at_hand(part).transpose(1, 0, 2)
+            t = np.floor(log_w[at : at + CHUNK] / r + beta)
+            draw = lead - r * (t - beta)
             low = draw.argmin(0)
             value = draw[low, np.arange(self.samples)]
             better = value < best
             best[better] = value[better]
             term[better] = part[low][better]
             level[better] = t[low, np.arange(self.samples)][better]
-        with np.errstate(over="ignore"):
-            code = (term * 0x9E3779B1 + level * 0x85EBCA6B) & 0xFFFFFFFF
-        return ((code ^ (code >> 16)) % 0xFFFF).astype(">u2").tobytes().hex()
+        code = mix(term + mix(level.view(np.uint64)))
+        return (code % U64(0xFFFF)).astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
@@ -83,7 +105,7 @@ def edited(text: str, following: str) -> str:
 FINISHED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES, terms: int = TERMS) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprint of each row of ``docs`` (doc_id, text), of its edited text and their likenesses.
 
     The next document (in descending doc_id) of a row is the row before it in ascending order, so
@@ -99,7 +121,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, terms: int = TERMS) ->
         return (doc, len(text), sha, fp, new_fp, likeness(fp, new_fp), likeness(fp, other_fp))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(samples, terms)
+        sampler = Sampler(samples)
         before = None
         nothing = (None,) * 6
         for batch in batches:
@@ -136,7 +158,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, terms: int = TERMS) ->
     heads = edges.where(F.col("edge") == "head").join(follow, "part").join(tails, "from_part")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(samples, terms)
+        sampler = Sampler(samples)
         for batch in batches:
             ids = batch["doc_id"].astype("Int64")
             rows = [(None, None, *result(sampler, None if d is pd.NA else int(d), t, f, o, of)) for d, t, f, o, of in zip(ids, batch["text"], batch["fingerprint"], batch["other"], batch["other_fp"], strict=True)]

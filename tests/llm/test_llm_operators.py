@@ -260,6 +260,16 @@ def test_likeness_estimates_generalised_jaccard():
         assert abs(fingerprint.likeness(sampler(" ".join(a)), sampler(" ".join(b))) - true) < 0.09
 
 
+def test_long_texts_without_a_common_word_are_not_alike():
+    sampler = fingerprint.Sampler()
+    texts = [" ".join(f"{side}{i}" for i in range(40_000)) for side in "ab"]
+    a, b = map(sampler, texts)
+    assert fingerprint.likeness(a, b) < 0.05
+    assert [a, b] == [fingerprint.Sampler()(t) for t in texts] == [sampler(t) for t in texts]
+    half = " ".join(f"{'a' if i % 2 else 'b'}{i}" for i in range(40_000))
+    assert abs(fingerprint.likeness(a, sampler(half)) - 1 / 3) < 0.2
+
+
 def test_fingerprints_of_odd_rows(spark):
     rows = fingerprint.fingerprints(odd_docs(spark)).collect()
     assert len(rows) == 8 and len({r.fingerprint for r in rows if r.doc_id in (4, 5)}) == 1
