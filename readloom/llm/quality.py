@@ -8,7 +8,7 @@ length of the text (and their products), as the same difference means something
 repeats itself or is short. The curve is fitted on other labelled rows than the dictionaries.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows (those with the smallest hashes of doc_id), and
-``TEXT_CHARS`` characters of each; scoring compresses whole texts. Labels, lang, source and doc_id
+like scoring it compresses whole texts, in tasks that give only numbers back. Labels, lang, source and doc_id
 are no inputs of a score. If training rows lack one of the classes, every score is the share of
 good labels (0.5 without labels).
 
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 TRAIN_ROWS = 4000
-TEXT_CHARS = 4000
 DICT_BYTES = 1 << 16
 PIECE_BYTES = 300
 BLOCK_BYTES = 1 << 12
@@ -83,29 +82,45 @@ def fold(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, chars: int = TEXT_CHARS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> dict:
     """The model: two dictionaries and a curve, from a bounded sample of the labelled rows."""
     use = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0))
     # as many of the bad as of the good, as far as there are
     use = use.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
     half = [use.where(F.col("quality") == q).orderBy("h", "doc_id").limit(max_rows // 2) for q in (1, 0)]
     pick = half[0].unionByName(half[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).join(F.broadcast(pick), "doc_id")  # at most max_rows rows
-    rows = sorted(texts.select("h", "doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).collect())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id")  # at most max_rows rows
+
+    @F.pandas_udf("binary")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(piece).astype(object)
+
+    rows = sorted(texts.select("h", "doc_id", "quality", pieces("text").alias("piece")).collect())
     share = use.agg(F.avg("quality")).first()[0]
     y = np.array([r["quality"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
         return {"good": b"", "bad": b"", "curve": [0.0] * 7 + [logit(0.5 if share is None else share)]}
-    parts = {}
+    content = {}
     for q in (1, 0):
-        own = [r["text"] for r in rows if r["quality"] == q]
-        parts[q] = own[: max(1, len(own) // 2)], own[len(own) // 2 :] or own
-    content = {q: cut(parts[q][0]) for q in (1, 0)}
+        own = [r["piece"] for r in rows if r["quality"] == q]
+        content[q] = b"".join(map(bytes, own[: max(1, len(own) // 2)]))[:DICT_BYTES]
     size = min(len(content[1]), len(content[0]))
     good, bad = content[1][-size:], content[0][-size:]
-    coder = Compressor(good, bad)
-    x = np.array([coder(t) for q in (1, 0) for t in parts[q][1]])
-    y = np.array([float(q) for q in (1, 0) for _ in parts[q][1]])
+
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = Compressor(good, bad)
+        for texts in batches:
+            yield pd.Series([coder(t) for t in texts], dtype=object)
+
+    # the other half of each class: whole texts stay in the tasks
+    rated = sorted(texts.select("h", "doc_id", "quality", pieces("text").alias("piece"), features("text").alias("x")).collect())
+    x, y = [], []
+    for q in (1, 0):
+        own = [r["x"] for r in rated if r["quality"] == q]
+        other = own[len(own) // 2 :]
+        x, y = x + other, y + [float(q)] * len(other)
+    x, y = np.array(x), np.array(y)
     curve = logistic(x, y)
     # the sample may hold more bad rows than their share; the offset moves to the share of all labels
     curve[-1] += logit(share) - logit(y.mean())
@@ -117,16 +132,11 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def cut(texts: list[str]) -> bytes:
-    """PIECE_BYTES from the middle of each of as many texts as fill DICT_BYTES."""
-    out = b""
-    for t in texts:
-        data = t.encode("utf-8", "surrogatepass")
-        at = max(0, (len(data) - PIECE_BYTES) // 2)
-        out += data[at : at + PIECE_BYTES]
-        if len(out) >= DICT_BYTES:
-            break
-    return out[:DICT_BYTES]
+def piece(text: str | None) -> bytes:
+    """PIECE_BYTES from the middle of a text."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    at = max(0, (len(data) - PIECE_BYTES) // 2)
+    return data[at : at + PIECE_BYTES]
 
 
 def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:

@@ -289,6 +289,17 @@ def test_quality_of_held_out_rows(spark):
     assert auc > 0.95 and np.mean([s >= 0.3 for s in good]) > 0.98 and np.mean([s >= 0.3 for s in bad]) < 0.2
 
 
+def test_quality_is_learnt_from_whole_texts(spark):
+    rng = random.Random(8)
+    words = lambda letters: ["".join(rng.choices(letters, k=6)) for _ in range(60)]
+    plain, good, bad = words("abcdefgh"), words("ijklmnop"), words("qrstuvwx")
+    text = lambda i: " ".join(rng.choices(plain, k=700) + rng.choices(good if i % 2 else bad, k=1500))
+    docs = docs_of(spark, [(i, text(i), "s") for i in range(80)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    rows = quality.score(docs, quality.fit(docs, labels)).where(quality.fold(F.col("doc_id")) == 0).collect()
+    assert {r.doc_id % 2 for r in rows} == {0, 1} and all((r.score > 0.5) == r.doc_id % 2 for r in rows)
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd_docs(spark), labels)
