@@ -8,14 +8,15 @@
    the size of the symmetric difference, and a chunk without such a shingle is equal. For each band
    of set sizes, K is more than the largest symmetric difference that the threshold allows, so
    linked texts agree in at least one chunk.
-3. Representatives that agree in a chunk meet: each first with the smallest id of the chunk (a
-   star, so a large group of copies gives a row for each copy and not for each pair).
-4. Pairs whose sketches differ in more bits than allowed go; the rest is verified on the shingle
-   sets of the whole texts.
+3. Chunk keys are counted where they arise (a hot key is one row for each task), and only rows of
+   keys that two texts have go on. They meet the smallest id of their chunk (a star, so a large
+   group of copies gives a row for each copy and not for each pair).
+4. Pairs whose sketches differ in more bits than allowed go: first folded to 512 bits (which keeps
+   the lower bound), then, for sets too large for that, to two bits for each element. Each text is verified
+   with the nearest star that is left, on the shingle sets of the whole texts.
 5. Chunks whose texts do not yet all hang together are joined with themselves across components.
-   The join's condition compares the sketches, folded to 1024 bits (which keeps the lower bound), so
-   only pairs that may be linked come out; they are verified alike. No link that could join two
-   components is missed.
+   The join's condition compares the folded sketches, so only pairs that may be linked come out;
+   they are narrowed and verified alike. No link that could join two components is missed.
 6. Components by repeated minimum over the links with pointer jumping.
 
 Nulls: null and empty texts have no shingles and are linked with nothing. Rows with the same doc_id
@@ -25,14 +26,15 @@ takes no part in links: its component is null. An empty table gives an empty res
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free, table, written
 from .hashing import Words, mix, shingles
 
 U64 = np.uint64
@@ -88,14 +90,20 @@ def sketch(sets: np.ndarray, chunks: int, salt: int) -> tuple[np.ndarray, np.nda
     return bits, keys
 
 
-FOLDED = 16
+FOLDED = 8
 
 
-def fold(words: np.ndarray) -> np.ndarray:
-    """A parity sketch of FOLDED words: chunks that fall together flip the same bits twice."""
-    out = np.zeros(-(-len(words) // FOLDED) * FOLDED, dtype=np.uint64)
+def fold(words: np.ndarray, size: int = FOLDED) -> np.ndarray:
+    """A parity sketch of ``size`` words: chunks that fall together flip the same bits twice."""
+    out = np.zeros(-(-len(words) // size) * size, dtype=np.uint64)
     out[: len(words)] = words
-    return np.bitwise_xor.reduce(out.reshape(-1, FOLDED), axis=0)
+    return np.bitwise_xor.reduce(out.reshape(-1, size), axis=0)
+
+
+def wide(words: np.ndarray, first: int) -> np.ndarray | None:
+    """The sketch of a band that begins at ``first``, folded to two bits an element; None if FOLDED words do."""
+    size = 1 << max(0, (first - 1).bit_length() - 5)
+    return fold(words, size).view(np.int64) if size > FOLDED else None
 
 
 def fingerprint_of(sets: np.ndarray) -> tuple[int, int]:
@@ -120,71 +128,87 @@ def set_fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, band, own, own_zeros, own_fold, up, up_zeros, up_fold) of every row of ``docs``.
+    """(doc_id, n, fp1, fp2, band, own, own_zeros, own_fold, own_wide, up, ...) of every row of ``docs``.
 
     ``own`` has the chunk keys for partners of the same band or smaller, ``up`` those with which the
     set takes part in the next larger band (null if no partner of that band can be linked);
-    ``*_fold`` is the folded parity sketch; ``*_zeros`` tells that the set also has to meet others at its empty chunks.
+    ``*_fold`` and ``*_wide`` are the folded parity sketches; ``*_zeros`` tells that the set also has
+    to meet others at its empty chunks.
     """
     first = bands()
+    edges = np.array(first)
+    level_of_none = (None, False, None, None)
+
+    def level_of(s: np.ndarray, level: int) -> tuple:
+        k, z = chunks_of(first, level, percent)
+        bits, keys = sketch(s, k, level)
+        return keys.view(np.int64), int((keys == 0).sum()) > z, fold(bits).view(np.int64), wide(bits, first[level])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
-        edges = np.array(first)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 s = shingles(words(text), size)
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, -1, None, False, None, None, False, None))
+                    rows.append((0, 0, 0, -1, *level_of_none, *level_of_none))
                     continue
                 band = int(np.searchsorted(edges, n, side="right")) - 1
-                fp = fingerprint_of(s)
-                k, z = chunks_of(first, band, percent)
-                bits, own = sketch(s, k, band)
-                rest = (None, False, None)
-                own_zeros = int((own == 0).sum()) > z
-                if 100 * n >= percent * first[band + 1]:
-                    k, z = chunks_of(first, band + 1, percent)
-                    up_bits, up = sketch(s, k, band + 1)
-                    rest = (up.view(np.int64), int((up == 0).sum()) > z, fold(up_bits).view(np.int64))
-                rows.append((n, *fp, band, own.view(np.int64), own_zeros, fold(bits).view(np.int64), *rest))
-            out = pd.DataFrame(rows, columns=["n", "fp1", "fp2", "band", "own", "own_zeros", "own_fold", "up", "up_zeros", "up_fold"])
+                up = level_of(s, band + 1) if 100 * n >= percent * first[band + 1] else level_of_none
+                rows.append((n, *fingerprint_of(s), band, *level_of(s, band), *up))
+            out = pd.DataFrame(rows, columns=["n", "fp1", "fp2", "band", *(f"{l}_{c}" for l in ("own", "up") for c in ("keys", "zeros", "fold", "wide"))])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n long, fp1 long, fp2 long, band int, own array<long>, own_zeros boolean, own_fold array<long>, up array<long>, up_zeros boolean, up_fold array<long>"
+    level = "{0}_keys array<long>, {0}_zeros boolean, {0}_fold array<long>, {0}_wide array<long>"
+    schema = f"doc_id long, n long, fp1 long, fp2 long, band int, {level.format('own')}, {level.format('up')}"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component) of all ids in ``links`` (a, b): the smallest id reachable."""
+    """(id, component) of all ids in ``links`` (a, b): the smallest id reachable; ends when nothing changes."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     label = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("id"), "c"), f"{name}-0")
-    for i in range(1, 1000):
+    for i in itertools.count(1):
         # the smallest label among the neighbours ...
         near = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         step = label.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         # ... and then the label's own label
         jump = label.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         new = written(step.join(jump, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("c"), "was"), f"{name}-{i}")
+        free(label)
         label = new.select("id", "c")
         if new.where(F.col("c") < F.col("was")).isEmpty():
-            break
-    return label.select("id", F.col("c").alias("component"))
+            free(both)
+            return label.select("id", F.col("c").alias("component"))
 
 
-def allowed(percent: int, other: str):
-    """May two rows with n and f0, f1, ... and the same names ending in ``other`` be linked?
+def distance(other: str):
+    """Hamming distance of the folded sketches f0, f1, ... and those with names ending in ``other``."""
+    return sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}{other}"))) for i in range(1, FOLDED)), F.bit_count(F.col("f0").bitwiseXOR(F.col(f"f0{other}"))))
 
-    Compares their sizes and the Hamming distance of their folded sketches of one level.
-    """
-    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}{other}"))) for i in range(1, FOLDED)), F.bit_count(F.col("f0").bitwiseXOR(F.col(f"f0{other}"))))
+
+def allowed(percent: int, other: str, apart=None):
+    """May two rows with n and the same name ending in ``other`` be linked, if so many elements are apart at least?"""
+    apart = distance(other) if apart is None else apart
     n = F.col(f"n{other}")
     return (100 * F.least("n", n) >= percent * F.greatest("n", n)) & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + n))
 
 
+def narrowed(pairs: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, step_a, b, step_b, ...) whose wide sketches, if they have some, still allow a link.
+
+    Long sets leave no information in FOLDED words; only pairs of such sets are looked up.
+    """
+    w = shown.select("id", "n", F.lit(0).alias("step"), F.col("own_wide").alias("w")).union(shown.select("id", "n", F.lit(1), "up_wide")).where(F.col("w").isNotNull())
+    left = w.withColumnsRenamed({"id": "a", "step": "step_a", "n": "n_a", "w": "w_a"})
+    right = w.withColumnsRenamed({"id": "b", "step": "step_b", "w": "w_b"})
+    apart = F.aggregate(F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = pairs.join(left, ["a", "step_a"], "left").join(right, ["b", "step_b"], "left")
+    return both.where(F.col("w_a").isNull() | F.col("w_b").isNull() | allowed(percent, "_a", apart)).select(*pairs.columns)
+
+
 ID_SLOTS = 1 << 20
 
 
@@ -234,22 +258,26 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     t = written(texts_of(pairs, docs), "texts")
     with_b = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    found = written(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long").distinct(), "links")
+    free(t)
+    return found
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text).
 
     Two texts link when 100 * intersection >= percent * union of their sets of ``size``-word
-    shingles. ``n_links`` counts the verified links of the document's class (at most one link to
-    each chunk's star and those found between components; copies of one class are not counted).
+    shingles. ``n_links`` counts the verified links of the document's class: those that were needed
+    to tell which texts hang together, not all pairs within a group.
     """
     sk = written(set_fingerprints(docs, size), "rows")
     have = sk.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # the row that stands for each class of equal sets
-    reps = have.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"))
-    classes = have.groupBy("doc_id", "fp1", "fp2", "n").agg(F.count("*").alias("times"))
-    members = written(classes.join(reps, ["fp1", "fp2", "n"]).select("doc_id", "fp1", "fp2", "n", "id", "times"), "classes")
+    distinct = written(have.groupBy("doc_id", "fp1", "fp2", "n").agg(F.count("*").alias("times")), "distinct")
+    # the row that stands for each class of equal sets of several documents
+    reps = written(distinct.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("docs")).where("docs > 1").drop("docs"), "copies")
+    # a join of two tables and nothing else: Spark splits it where one class has very many rows
+    members = written(distinct.join(reps, ["fp1", "fp2", "n"], "left").select("doc_id", "fp1", "fp2", "n", F.coalesce("id", "doc_id").alias("id"), "times"), "classes")
+    free(distinct, reps)
     stand = members.where(F.col("doc_id") == F.col("id")).select("id", "fp1", "fp2", "n")
     # rows that cannot be copies get their sketches without a shuffle; the others are looked up
     doubtful = among(members.where((F.col("doc_id") != F.col("id")) | (F.col("times") > 1)).select(F.col("doc_id").alias("id")))
@@ -259,23 +287,32 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shown = sure.unionByName(looked_up).where(F.col("n") > 0).withColumnRenamed("doc_id", "id").drop("fp1", "fp2")
     shown = written(shown, "stand")
 
-    def keys(col: str, step: int) -> DataFrame:
-        at = shown.where(F.col(col).isNotNull()).select("id", (F.col("band") + step).alias("level"), F.posexplode(col).alias("pos", "word"), F.col(f"{col}_zeros").alias("zeros"))
-        return at.where((F.col("word") != 0) | F.col("zeros")).select(F.xxhash64("level", "pos", "word").alias("key"), "id", F.lit(step).cast("byte").alias("step"))
-
-    # a running minimum needs no memory for the rows of a key
-    of_key = Window.partitionBy("key").orderBy("id")
-    rows = keys("own", 0).union(keys("up", 1)).withColumn("star", F.first("id").over(of_key)).withColumn("star_step", F.first("step").over(of_key))
-    hits = written(rows.where(F.col("id") != F.col("star")), "hits")
-    folds = shown.select("id", "n", F.lit(0).cast("byte").alias("step"), F.col("own_fold").alias("f")).union(shown.where(F.col("up_fold").isNotNull()).select("id", "n", F.lit(1).cast("byte").alias("step"), F.col("up_fold").alias("f")))
+    def keys(name: str, step: int) -> DataFrame:
+        at = shown.where(F.col(f"{name}_keys").isNotNull()).select("id", (F.col("band") + step).alias("level"), F.posexplode(f"{name}_keys").alias("pos", "word"), F.col(f"{name}_zeros").alias("zeros"))
+        return at.where((F.col("word") != 0) | F.col("zeros")).select(F.xxhash64("level", "pos", "word").alias("key"), "id", F.lit(step).alias("step"))
+
+    # keys of two texts or more, counted where they arise; then only their rows go on
+    rows = keys("own", 0).union(keys("up", 1))
+    again = written(rows.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "keys")
+    shared = written(rows.join(again.hint("merge"), "key"), "shared")
+    stars = shared.groupBy("key").agg(F.min(F.struct("id", "step")).alias("s")).select("key", F.col("s.id").alias("star"), F.col("s.step").alias("star_step"))
+    stars = written(stars, "stars")
+    hits = written(shared.join(stars.hint("merge"), "key").where(F.col("id") != F.col("star")), "hits")
+    free(again, shared, stars)
+    folds = shown.select("id", "n", F.lit(0).alias("step"), F.col("own_fold").alias("f")).union(shown.where(F.col("up_fold").isNotNull()).select("id", "n", F.lit(1), "up_fold"))
     folds = folds.select("id", "n", "step", *(F.col("f")[i].alias(f"f{i}") for i in range(FOLDED)))
     # a pair that meets at two levels is looked at in one
     first = hits.groupBy(F.col("star").alias("a"), F.col("id").alias("b")).agg(F.min(F.struct("star_step", "step")).alias("s")).select("a", "b", F.col("s.star_step").alias("step_a"), F.col("s.step").alias("step_b"))
     first = written(first, "pairs")
     left = folds.withColumnsRenamed({"id": "a", "step": "step_a"})
-    right = folds.select(F.col("id").alias("b"), F.col("step").alias("step_b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *(f"f{i}" for i in range(FOLDED)))))
-    near = written(first.join(left, ["a", "step_a"]).join(right, ["b", "step_b"]).where(allowed(percent, "_b")).select("a", "b"), "near")
-    links = written(verified(near, docs, size, percent), "links")
+    other_folds = [F.col(c).alias(f"{c}_b") for c in ("n", *(f"f{i}" for i in range(FOLDED)))]
+    right = folds.select(F.col("id").alias("b"), F.col("step").alias("step_b"), *other_folds)
+    near = first.join(left, ["a", "step_a"]).join(right, ["b", "step_b"]).where(allowed(percent, "_b"))
+    near = written(near.select("a", "step_a", "b", "step_b", (distance("_b") / (F.col("n") + F.col("n_b"))).alias("apart")), "near")
+    # each text is first verified with the nearest of its stars
+    best = written(narrowed(near, shown, percent).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("s")).select(F.col("s.a").alias("a"), "b"), "best")
+    links = verified(best, docs, size, percent)
+    free(first, near)
     # texts with one doc_id but different sets belong together as one document
     same = members.where(F.col("doc_id") != F.col("id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     label = components(links, "star")
@@ -286,17 +323,24 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     open_keys = known.where(F.col("c") != F.col("star_c")).groupBy("key").agg(F.min("star").alias("star"), F.min("star_step").alias("star_step"), F.min("star_c").alias("star_c"))
     open_keys = written(open_keys, "open-keys")
     rest = known.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "step", "c").union(open_keys.select("key", "star", "star_step", "star_c"))
-    rest = written(rest.join(folds, ["id", "step"]).drop("step"), "open")
+    rest = written(rest.join(folds, ["id", "step"]), "open")
+    free(hits, label, known, open_keys)
     other = rest.select("key", *(F.col(x).alias(f"{x}_b") for x in rest.columns if x != "key"))
     may = (rest["key"] == other["key"]) & (F.col("c") < F.col("c_b")) & allowed(percent, "_b")
-    cross = rest.join(other, may).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-    cross = written(cross.join(near, ["a", "b"], "left_anti"), "cross")
-    links = links if cross.isEmpty() else written(links.union(verified(cross, docs, size, percent)), "all-links")
-    all_links = links.union(same)
-    label = components(all_links, "final")
+    # one row for each pair: of the levels at which it meets, the first
+    a_first = F.col("id") < F.col("id_b")
+    cross = rest.join(other, may).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"), F.when(a_first, F.struct("step", F.col("step_b").alias("other"))).otherwise(F.struct(F.col("step_b").alias("step"), F.col("step").alias("other"))).alias("s"))
+    cross = written(cross.groupBy("a", "b").agg(F.min("s").alias("s")).select("a", "b", F.col("s.step").alias("step_a"), F.col("s.other").alias("step_b")), "cross")
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    narrow = written(narrowed(cross, shown, percent).select("a", "b").join(tried, ["a", "b"], "left_anti"), "narrow")
+    free(rest, cross, best)
+    links = links.union(verified(narrow, docs, size, percent))
+    free(narrow, shown)
+    label = components(links.union(same), "final")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    found = members.select("doc_id", "fp1", "fp2", "n", "id").join(label, "id", "left").join(degree, "id", "left")
-    found = found.select("doc_id", "fp1", "fp2", "n", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    figures = written(label.join(degree, "id", "left"), "figures")
+    free(label)
+    found = members.join(figures, "id", "left").select("doc_id", "fp1", "fp2", "n", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sk.select("doc_id", "n", "fp1", "fp2").join(found, ["doc_id", "fp1", "fp2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
