@@ -7,9 +7,11 @@ secrets: found secrets are replaced in the texts.
 mixing: sources are mixed to their target weights; a row is a stretch of a document that is taken.
 packing: token sequences of at most 1024 ids; a row is a piece of a document.
 
-Every stage works on all rows of the stage before and writes its result as Parquet. Rows without
-doc_id pass the near-duplicate stage, as they cannot be told apart. An empty table gives an empty
-result.
+Every stage works on all rows of the stage before and writes its result as Parquet. Null texts count
+as empty: quality scores them, near_duplicates leaves them alone, mixing takes no word of them. Rows
+without doc_id pass near_duplicates, as they cannot be told apart. Rows that share a doc_id but not a
+text stay or go together; rows with equal id and text are one there. Columns besides those of documents stay, under
+whatever name, up to packing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +30,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.jaccard_components(docs.select("doc_id", "text"), size=5, percent=80)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    groups = written(groups, "near-groups")
+    out = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    # rows that surely stay need no shuffle; ids that go or come again are looked up
+    doubtful = ngram_join.among(out.union(again).select(F.col("doc_id").alias("id")))(F.col("doc_id").cast("long"))
+    sure = docs.where(F.col("doc_id").isNull() | ~doubtful)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rest = docs.where(F.col("doc_id").isNotNull() & doubtful).join(kept, "doc_id", "left_semi")
+    # of rows with equal id and text, the one whose other columns come first
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = rest.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__any"), *other)).alias("__other"))
+    return sure.select(*docs.columns).union(one.select(*(F.col(c) if c in ("doc_id", "text") else F.col("__other")[c].alias(c) for c in docs.columns)))
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,16 +6,21 @@
 2. The words of a source, its documents in a pseudorandom order, are packed into blocks of
    ``BLOCK`` words; a document's place is a prefix sum in two steps (bins within a source, documents
    within a bin), so a source with a third of all rows is no single task's work.
-3. The mix is a row of output shards of equal slots. For each shard, counts of slots by source are
-   drawn from the multinomial distribution of the targets; what a source was drawn above its quota
-   goes to sources below theirs, so each source is taken as often as its target asks.
+3. The mix is a row of output shards of equal slots. For each shard of the first three quarters,
+   counts of slots by source are drawn from the multinomial distribution of the targets. The last
+   quarter is scaled: it holds what each source still lacks, in equal parts. A source that was drawn
+   more often than its target asks keeps that, up to three passes over its blocks.
 4. The k-th slot of a source takes the block at place k of a pseudorandom permutation of the
    source's blocks (a Feistel network with cycle walking, another one for each pass over the
-   source), so no document comes more than three times; slots and blocks are joined by index.
+   source), so no document comes more than three times; slots and blocks are joined by index. The
+   slots of a shard are permuted alike, so its sources are mixed.
 
+Draws are made again from the seed wherever they are needed, by groups of shards, and not stored.
 All draws hang on ``seed``, source and index alone: reruns agree. The targets come to the driver,
 one row for each source (``MAX_SOURCES`` at most, else an error); nothing else does.
 
+``op2`` also tells in how many shards a document is, and in which first.
+
 Nulls: a null text has size 0 and takes no part, with taken 0; a null source is a source. Rows with
 the same doc_id are placed each on its own. An empty table gives an empty result.
 """
@@ -29,14 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import spread, table, written
+from .common import table, written
 from .hashing import Words, mix
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
-BLOCK = 256
-SLOTS_PER_SHARD = 8192
-DOCS_PER_BIN = 4096
+BLOCK = 128
+SLOTS_PER_SHARD = 256
+DOCS_PER_BIN = 1024
 MAX_SOURCES = 100_000
 SEED = 42
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,7 +89,7 @@ def placed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(*docs.columns).alias("row"), n_words(F.col("text")).alias("size"))
     n_rows = d.count()
     bins = max(1, -(-n_rows // DOCS_PER_BIN))
-    d = d.withColumn("bin", F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.lit(bins)).cast("int"))
+    d = d.withColumn("bin", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(bins)).cast("int"))
     sums = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     own = Window.partitionBy("source")
     upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,66 +101,90 @@ def placed(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def slots(spark: SparkSession, sources: pd.DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(no, pass, block, words): the blocks that the mix takes, one row for each slot.
+    """(no, pass, block, words, shard, slot): the blocks that the mix takes, one row for each slot.
 
-    ``sources``: no, size, target. ``words``: how many of the block's words are taken; only the last
-    slot of a source may take fewer than the block has.
+    ``sources``: no, size, target. ``words``: how many of the block's words are taken; only the slot
+    at a source's target may take fewer than the block has.
     """
+    schema = "no int, pass int, block long, words long, shard long, slot long"
     use = sources[(sources["target"] >= 0.5) & (sources["size"] > 0)].reset_index(drop=True)
     if use.empty:
-        return spark.createDataFrame([], "no int, pass int, block long, words long")
+        return spark.createDataFrame([], schema)
     no = use["no"].to_numpy()
     size, want = use["size"].to_numpy().astype(np.int64), np.rint(use["target"].to_numpy()).astype(np.int64)
     blocks = -(-size // block)
     passes, rest = want // size, want % size
     quota = passes * blocks + -(-rest // block)
-    total = int(quota.sum())
-    shards = max(1, -(-total // SLOTS_PER_SHARD))
     share = quota / quota.sum()
+    shards = -(-int(quota.sum()) // SLOTS_PER_SHARD)
+    closing = -(-shards // 4)
+    drawn_shards = shards - closing
+    per_group = max(1, min(1024, (1 << 20) // len(use)))
+    groups = -(-shards // per_group)
+
+    def counts(first: int, stop: int, lacking: np.ndarray | None = None) -> np.ndarray:
+        """Slots by shard and source; of the scaled shards only if ``lacking`` is given."""
+        out = np.zeros((stop - first, len(use)), dtype=np.int64)
+        for shard in range(first, stop):
+            if shard < drawn_shards:
+                out[shard - first] = np.random.default_rng((seed, shard)).multinomial(SLOTS_PER_SHARD, share)
+            elif lacking is not None:
+                j = shard - drawn_shards
+                out[shard - first] = lacking * (j + 1) // closing - lacking * j // closing
+        return out
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for shard in batch["id"]:
-                n = min(SLOTS_PER_SHARD, total - int(shard) * SLOTS_PER_SHARD)
-                counts = np.random.default_rng((seed, int(shard))).multinomial(n, share)
-                rows += [(int(shard), int(s), int(c)) for s, c in enumerate(counts) if c]
-            yield pd.DataFrame(rows, columns=["shard", "s", "n"]).astype({"shard": "int64", "s": "int32", "n": "int64"})
-
-    drawn = written(spark.range(shards).mapInPandas(draw, "shard long, s int, n long"), "mix-draws")
-    got = {r["s"]: r["n"] for r in drawn.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    # sources below their quota get the slots of those above in a shard of corrections
-    missing = [(shards, s, int(quota[s]) - got.get(s, 0)) for s in range(len(quota)) if quota[s] > got.get(s, 0)]
-    if missing:
-        drawn = drawn.union(spark.createDataFrame(missing, drawn.schema))
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = drawn.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s, begin, n in zip(batch["s"], batch["from"], batch["n"], strict=True):
-                k = np.arange(begin, min(begin + n, quota[s]), dtype=np.int64)
-                for at in range(0, len(k), 1 << 16):
-                    part = k[at : at + (1 << 16)]
-                    turn, index = part // blocks[s], part % blocks[s]
-                    key = mix((turn * 1_000_003 + int(no[s]) * 7919 + seed).astype(np.uint64)).view(np.int64)
-                    index = permuted(index, np.full(len(part), blocks[s]), key)
-                    taken = np.minimum(block, size[s] - index * block)
-                    # the words still open in the last, partial pass
-                    taken = np.where(turn == passes[s], np.minimum(taken, np.maximum(0, rest[s] - (part % blocks[s]) * block)), taken)
-                    yield pd.DataFrame({"no": np.full(len(part), no[s], dtype=np.int32), "pass": turn.astype(np.int32), "block": index, "words": taken})
-
-    # the windows leave few partitions; filling slots is spread over all
-    ranges = ranges.select("s", "from", "n").repartition(spread(spark), "s", "from")
-    return ranges.mapInPandas(fill, "no int, pass int, block long, words long")
+            for g in batch["id"]:
+                n = counts(g * per_group, min(shards, (g + 1) * per_group)).sum(0)
+                yield pd.DataFrame({"g": np.full(len(n), g), "s": np.arange(len(n), dtype=np.int32), "n": n})
+
+    sums = written(spark.range(groups).mapInPandas(draw, "g long, s int, n long"), "mix-draws")
+    drawn = np.zeros(len(use), dtype=np.int64)
+    for r in sums.groupBy("s").agg(F.sum("n").alias("n")).collect():
+        drawn[r["s"]] = r["n"]
+    lacking = np.maximum(0, quota - drawn)
+    # scaled shards follow the drawn ones of the same source
+    before = Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).select("g", "s", "from")
+
+    def fill(group: pd.DataFrame) -> pd.DataFrame:
+        g = int(group["g"].iloc[0])
+        first, stop = g * per_group, min(shards, (g + 1) * per_group)
+        n = counts(first, stop, lacking)
+        begin = np.zeros(len(use), dtype=np.int64)
+        begin[group["s"].to_numpy()] = group["from"].to_numpy()
+        # scaled shards of earlier groups
+        scaled = max(0, min(first, shards) - drawn_shards)
+        begin += lacking * scaled // closing
+        at, whole = np.cumsum(n, 1) - n, n.sum(1)
+        out = []
+        for s in np.flatnonzero(n.sum(0)):
+            times = n[:, s]
+            row = np.repeat(np.arange(stop - first), times)
+            k = begin[s] + np.arange(len(row))
+            place = at[row, s] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            ok = k < LIMIT * blocks[s]
+            k, row, place = k[ok], row[ok], place[ok]
+            turn = k // blocks[s]
+            key = mix((turn * 1_000_003 + int(no[s]) * 7919 + seed).astype(np.uint64)).view(np.int64)
+            index = permuted(k % blocks[s], np.full(len(k), blocks[s]), key)
+            taken = np.minimum(block, size[s] - index * block)
+            # the slot at the target takes the words that are still lacking
+            taken = np.where((k == quota[s] - 1) & (rest[s] > 0), np.minimum(taken, rest[s] - (k % blocks[s]) * block), taken)
+            slot = permuted(place, whole[row], mix((row + first).astype(np.uint64) + np.uint64(seed)).view(np.int64))
+            out.append(pd.DataFrame({"no": np.full(len(k), no[s], dtype=np.int32), "pass": turn.astype(np.int32), "block": index, "words": taken, "shard": row + first, "slot": slot}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["no", "pass", "block", "words", "shard", "slot"])
+
+    return sums.groupBy("g").applyInPandas(fill, schema)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
     documents: (doc_id, source, row, no, at, size, source_size, target), one row for each row of
-    ``docs``; pieces: (row, no, at, size, pass, begin, end), the words of a document that one slot
-    takes.
+    ``docs``; pieces: (row, no, at, size, pass, begin, end, shard, slot), the words of a document that
+    one slot takes.
     """
     spark = docs.sparkSession
     d = written(placed(docs, seed), "mix-places")
@@ -172,7 +201,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOC
     # slots are as many as blocks, whatever Spark makes of the small table they come from: no broadcast
     pieces = parts.join(taken.hint("merge"), ["no", "block"]).where(F.col("words") > F.col("begin"))
     offset = F.col("block") * block - F.col("at")
-    return d, pieces.select("row", "no", "at", "size", "pass", (F.col("begin") + offset).alias("begin"), (F.least("end", "words") + offset).alias("end"))
+    return d, pieces.select("row", "no", "at", "size", "pass", (F.col("begin") + offset).alias("begin"), (F.least("end", "words") + offset).alias("end"), "shard", "slot")
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
@@ -200,9 +229,13 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     # names of their own, as docs may have columns of any name
-    texts = docs.withColumn("__mix_row", F.xxhash64(*docs.columns)).dropDuplicates(["__mix_row"])
-    runs = runs.select(*(F.col(c).alias(f"__mix_{c}") for c in ("row", "begin", "end", "size")))
-    out = texts.join(runs, "__mix_row").withColumn("text", stretch("text", "__mix_begin", "__mix_end", "__mix_size"))
+    runs = runs.select(*(F.col(c).alias(f"__mix_{c}") for c in ("row", "no", "at", "pass", "run", "begin", "end", "size")))
+    texts = docs.withColumn("__mix_row", F.xxhash64(*docs.columns))
+    # rows are told apart by their hash; equal rows meet each other's runs, so of those each run stays once
+    equal = written(texts.groupBy("__mix_row").agg(F.count("*").alias("rows")).where("rows > 1").select("__mix_row"), "mix-equal")
+    once = texts.join(runs.join(equal, "__mix_row", "left_anti").hint("merge"), "__mix_row")
+    more = texts.join(runs.join(equal, "__mix_row"), "__mix_row").dropDuplicates(["__mix_no", "__mix_at", "__mix_pass", "__mix_run"])
+    out = once.unionByName(more).withColumn("text", stretch("text", "__mix_begin", "__mix_end", "__mix_size"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -211,7 +244,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, pieces = mixed(table(spark, sf_dir, "documents"))
     # (no, at) names a row with words: places do not overlap
-    taken = pieces.groupBy("no", "at").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    taken = pieces.groupBy("no", "at").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"), F.count_distinct("shard").alias("n_shards"), F.min("shard").alias("first_shard"))
     taken = taken.withColumnsRenamed({"no": "of_no", "at": "of_at"})
     own = d.join(taken, (F.col("no") == F.col("of_no")) & (F.col("at") == F.col("of_at")) & (F.col("size") > 0), "left")
-    return own.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return own.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"), "first_shard")
