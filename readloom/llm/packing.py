@@ -5,8 +5,9 @@ one item. An item goes to the fill level ``h`` (or to a new window) for which th
 squares of the counts of partially filled windows over all levels becomes least; the counts stand
 in an array by level. Each input partition is packed on its own, in the order of its rows, so
 nothing is shuffled and the state of a task is one array and the windows still open. When a
-partition ends, the pieces in windows that stayed open are cut again: they fill windows one after
-another, and the last few ids go to windows whose fill is a power of two, which need no padding.
+partition ends, the windows that stayed open would need padding: the fullest of them are filled up
+with the ids of the emptiest, cut where needed, and the one left over is split into windows whose fill
+is a power of two, which need no padding. All other windows stay as the placement made them.
 
 A rerun of a task reads the same rows and packs them alike. Nulls: a null text is empty; every
 document has at least its end id, so every row gives a piece; a null doc_id is kept. Repeated rows
@@ -76,6 +77,7 @@ class Packer:
         self.window = window
         self.count = np.zeros(window + 1, dtype=np.int64)  # partially filled windows by fill level
         self.open: dict[int, list[list]] = {}  # level -> windows, each a list of pieces
+        self.moved = 0  # ids that left the window they were placed into when the partition ended
 
     def add(self, piece: tuple) -> list | None:
         """Places a piece of fewer ids than a window; returns the window if that fills it."""
@@ -105,25 +107,47 @@ class Packer:
         return None
 
     def close(self) -> Iterator[list]:
-        """The windows still open, cut again so that none needs padding."""
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        left = sum(len(p[2]) for p in pieces)
-        sizes = [self.window] * (left // self.window)
-        rest = left % self.window
-        sizes += [1 << b for b in range(self.window.bit_length() - 1, -1, -1) if rest >> b & 1]
-        at = 0
-        todo = iter(pieces)
-        piece = next(todo, None)
-        for size in sizes:
+        """The windows still open, fullest first; the ids of the emptiest, cut where needed, fill them up.
+
+        A window that the fullest ones don't use up ends the row; it is split into powers of two.
+        """
+        windows = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
+        lo, hi = 0, len(windows) - 1
+        spare: list[tuple] = []
+        while lo <= hi:
+            window = windows[lo]
+            lo += 1
+            room = self.window - sum(len(p[2]) for p in window)
+            while room and (spare or lo <= hi):
+                if not spare:
+                    spare = windows[hi]
+                    hi -= 1
+                doc, start, ids = spare.pop()
+                window.append((doc, start, ids[:room]))
+                if len(ids) > room:
+                    spare.append((doc, start + room, ids[room:]))
+                self.moved += len(window[-1][2])
+                room -= len(window[-1][2])
+            if room:
+                yield from self.split(window)
+            else:
+                yield window
+        if spare:
+            yield from self.split(spare)
+
+    def split(self, pieces: list[tuple]) -> Iterator[list]:
+        """Pieces of less than a window as windows of powers of two, which need no padding."""
+        rest = sum(len(p[2]) for p in pieces)
+        left = list(reversed(pieces))
+        for size in (1 << b for b in range(self.window.bit_length() - 1, -1, -1) if rest >> b & 1):
             window, room = [], size
             while room:
-                doc, start, ids = piece
-                part = ids[at : at + room]
-                window.append((doc, start + at, part))
-                room -= len(part)
-                at += len(part)
-                if at == len(ids):
-                    piece, at = next(todo, None), 0
+                doc, start, ids = left.pop()
+                window.append((doc, start, ids[:room]))
+                if len(ids) > room:
+                    left.append((doc, start + room, ids[room:]))
+                self.moved += len(window[-1][2])
+                room -= len(window[-1][2])
             yield window
 
 
