@@ -4,8 +4,11 @@ Base rules find three kinds of secrets in whole texts. The random field tags eve
 begin (B), inside (I) or outside (O) from its shape (length, digits, capitals, special characters),
 the neighbouring words, and features of the whole text; decoding is exact Viterbi. It is trained
 here, by maximum likelihood, on windows of words whose tags come from the base rules (at most
-``TRAIN_ROWS`` texts: half that hold a hint of a secret, half without; ``TRAIN_CHARS`` characters of
-each). Tagged spans that touch no base span are added as kind ``crf``.
+``TRAIN_ROWS`` texts, half that a base rule matches and half without; of the windows of these whole
+texts ``TRAIN_WINDOWS``, half with a secret and half with none). Every window with a secret is
+learned twice, the second time without cue and with its value cut shorter, so the field also knows a
+secret by its shape and finds those that no rule names. Tagged spans that touch no base span are
+added as kind ``crf``.
 
 Nearly all words are outside whatever their neighbours are: where the score of O exceeds that of B
 and I by more than all transitions together could make up for, Viterbi's path goes through O, so
@@ -17,13 +20,13 @@ span in the sample the field adds nothing. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -31,17 +34,20 @@ from .hashing import Words
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_ROWS = 1200
-TRAIN_CHARS = 20000
+TRAIN_WINDOWS = 3000
 SPAN_WORDS = 32
+SHORTEST = 12
 CUE = r"password|passwd|secret|token|api_?key"
 ASSIGN = re.compile(rf"""(?:{CUE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ASSIGN_FAST = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: The base rules as one pattern of Spark's: does any match?
+ANY_BASE = rf"""(?i:{CUE})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{{6}}|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"""
 CUE_BYTES = re.compile(CUE.encode())
 B, I, O = 0, 1, 2  # noqa: E741
 #: Sizes of the groups of features; a word has one feature of each.
-GROUPS = (1024, 8, 512, 512, 16, 16, 32, 4)
+GROUPS = (8, 8, 16, 8, 8, 512, 512, 16, 16, 32, 4)
 
 
 def base_spans(text: str, longest: int | None = None) -> list[tuple[str, int, int]]:
@@ -111,8 +117,11 @@ class Features:
         text_len = int(np.searchsorted((200, 2000, 20000), len(data)))
         digit_share = int(np.searchsorted((0.002, 0.01, 0.05), digits.sum() / len(data)))
         whole = np.full(n, text_len + 4 * digit_share + 16 * int(cue.any()))
-        shape = lengths + 8 * share(digits) + 32 * share(capitals) + 128 * np.minimum(special, 3) + 512 * equals
-        columns = (shape, long_hex + 2 * cue + 4 * sign, shift(names, -1), shift(names, 1), shift(coarse, -1), shift(coarse, 1), whole, shift(sign + 2 * cue, -1))
+        # how often digits and other letters alternate in the word
+        digit = (a >= 48) & (a < 58)
+        turns = np.minimum(np.add.reduceat(np.r_[False, digit[1:] != digit[:-1]].astype(np.int64), starts) - digit[starts], 40)
+        turns = np.searchsorted((1, 2, 3, 5, 8, 12, 20), turns, side="right")
+        columns = (lengths, turns, share(digits) + 4 * share(capitals), np.minimum(special, 3) + 4 * equals, long_hex + 2 * cue + 4 * sign, shift(names, -1), shift(names, 1), shift(coarse, -1), shift(coarse, 1), whole, shift(sign + 2 * cue, -1))
         return np.stack(columns, 1) + self.offset, starts, ends
 
 
@@ -137,7 +146,7 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(windows: np.ndarray, tags: np.ndarray, rounds: int = 60, ridge: float = 2e-4) -> dict:
+def train(windows: np.ndarray, tags: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> dict:
     """Weights of a field by AdaGrad on the log-likelihood; windows (S, T, groups), tags (S, T)."""
     s, t, _ = windows.shape
     emit, move = np.zeros((sum(GROUPS), 3)), np.zeros((3, 3))
@@ -204,30 +213,73 @@ def decode(score: np.ndarray, move: np.ndarray) -> np.ndarray:
     return tags
 
 
-def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict | None:
-    """A field trained on a bounded sample of the texts; None if no base rule matches there."""
-    hint = F.col("text").rlike(f"(?i){CUE}|AKIA|[0-9a-f]{{24}}")
-    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), hint.alias("hint"))
-    pick = ids.where("hint").orderBy("h", "doc_id").limit(max_rows // 2).unionByName(ids.where("not hint").orderBy("h", "doc_id").limit(max_rows // 2)).select("doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).join(F.broadcast(pick.distinct()), "doc_id")  # at most max_rows rows
-    features = Features()
-    windows, tags = [], []
-    for _, text in sorted((r["doc_id"], r["text"] or "") for r in texts.toLocalIterator()):
-        data = text.encode("utf-8", "surrogatepass")
-        f, starts, ends = features(data)
-        if len(f) < SPAN_WORDS:
+def padded(x: np.ndarray, value) -> np.ndarray:
+    """``x`` with rows of ``value`` behind, up to SPAN_WORDS rows."""
+    return np.concatenate([x, np.broadcast_to(value, (max(0, SPAN_WORDS - len(x)), *x.shape[1:]))])
+
+
+def without_cues(text: str, spans: list[tuple[str, int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text with each secret's bare value in its place, cut to SHORTEST characters or more; the values' places."""
+    parts, places, at, size = [], [], 0, 0
+    for kind, start, end in spans:
+        if start < at:
             continue
-        spans = [s[1:] for s in base_spans(text)]
-        t = tags_of(len(f), code_points(data, starts), code_points(data, ends), spans)
-        used = np.flatnonzero(t == B)
-        # windows around the secrets (at most 4 of a text), and one at a place without
-        for at in [*used[:4].tolist(), (len(f) * 7) // 11]:
-            lo = min(max(0, at - SPAN_WORDS // 2), len(f) - SPAN_WORDS)
-            windows.append(f[lo : lo + SPAN_WORDS])
-            tags.append(t[lo : lo + SPAN_WORDS])
-    if not any((t != O).any() for t in tags):
+        value = ASSIGN.match(text, start)[1] if kind == "assign" else text[start:end]
+        value = value[: SHORTEST + zlib.crc32(value.encode()) % max(1, len(value) - SHORTEST + 1)]
+        parts += [text[at:start], value]
+        size += start - at
+        places.append((size, size + len(value)))
+        size += len(value)
+        at = end
+    return "".join([*parts, text[at:]]), places
+
+
+def windows_of(features: Features, text: str) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(has a secret, features, tags) of the training windows of a whole text.
+
+    One around each secret, as it stands and without its cue; one around each other word with
+    digits, and one at one place more.
+    """
+    spans = base_spans(text)
+    versions = [(text, [s[1:] for s in spans]), without_cues(text, spans)] if spans else [(text, [])]
+    for version, places in versions:
+        data = version.encode("utf-8", "surrogatepass")
+        f, starts, ends = features(data)
+        if not len(f):
+            return
+        t = tags_of(len(f), code_points(data, starts), code_points(data, ends), places)
+        a = np.frombuffer(data, dtype=np.uint8)
+        digits = np.add.reduceat(((a >= 48) & (a < 58)).astype(np.int64), starts)
+        odd = np.flatnonzero((t == O) & (digits > 0))
+        for i in (*np.flatnonzero(t == B), *odd, (len(f) * 7) // 11):
+            lo = max(0, min(int(i) - SPAN_WORDS // 2, len(f) - SPAN_WORDS))
+            tags = padded(t[lo : lo + SPAN_WORDS], O)
+            yield bool((tags != O).any()), padded(f[lo : lo + SPAN_WORDS], features.offset), tags
+
+
+def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, max_windows: int = TRAIN_WINDOWS) -> dict | None:
+    """A field trained on a bounded sample of the texts; None if no base rule matches there."""
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), F.col("text").rlike(ANY_BASE).alias("match"))
+    # a limit of each kind in one pass over the texts
+    nth = F.row_number().over(Window.partitionBy("match").orderBy("h", "doc_id"))
+    pick = ids.withColumn("nth", nth).where(F.col("nth") <= max_rows // 2).select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id")  # at most max_rows rows
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features()
+        for batch in batches:
+            for text in batch["text"]:
+                rows = [(secret, f.astype(np.int32).tobytes(), t.astype(np.int8).tobytes()) for secret, f, t in windows_of(features, text or "")]
+                yield pd.DataFrame(rows, columns=["secret", "features", "tags"])
+
+    found = texts.select("text").mapInPandas(cut, "secret boolean, features binary, tags binary").withColumn("h", F.xxhash64("features"))
+    nth = F.row_number().over(Window.partitionBy("secret").orderBy("h", "features", "tags"))
+    rows = found.withColumn("nth", nth).where(F.col("nth") <= max_windows // 2).collect()
+    if not any(r["secret"] for r in rows):
         return None
-    return train(np.stack(windows), np.stack(tags))
+    rows.sort(key=lambda r: (r["secret"], r["nth"]))
+    windows = np.stack([np.frombuffer(r["features"], dtype=np.int32).reshape(SPAN_WORDS, -1) for r in rows]).astype(np.int64)
+    return train(windows, np.stack([np.frombuffer(r["tags"], dtype=np.int8) for r in rows]).astype(np.int64))
 
 
 class Scanner:
@@ -262,7 +314,7 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
 def find_secrets(docs: DataFrame, model: dict | None) -> DataFrame:
-    """``docs`` with a column ``spans`` of all spans of ``text``."""
+    """``docs`` with a column ``spans`` (which it replaces, if there) of all spans of ``text``."""
 
     @F.pandas_udf(SPANS)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
