@@ -1,16 +1,18 @@
 r"""Information-theoretic sanitisation of personal data (operator 1).
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers in whole texts. Every
-distinct value found is a protected entity. A term (a lower-cased word without outer punctuation)
-discloses an entity when the two occur together so often that the term tells most of what there is
-to know of it: with document frequencies over the whole corpus,
+distinct value found is a protected entity, and so is each kind as a whole (whatever tells that a
+person's number stands near). A term (a lower-cased word without outer punctuation that is in no base
+span; digits and signs count as letters) discloses an entity when the two occur together so often that
+the term tells most of what there is to know of it: with document frequencies over the whole corpus,
 
     PMI(entity; term) / IC(entity) >= DISCLOSURE,  IC(entity) = log2(N / n(entity)),
     PMI = log2(N * n(entity, term) / (n(entity) * n(term)))
 
-for terms within ``REACH`` words of the entity in at least ``SUPPORT`` documents. Wherever such a
-term occurs, in any document, it becomes a span of its own: ``term``, generalised to its class when
-the share of disclosed information is below ``REMOVE``, else removed.
+for terms within ``REACH`` words of the entity in at least ``SUPPORT`` documents. An entity that is in
+every document tells nothing (IC = 0), so nothing discloses it. Wherever a disclosing term occurs, in
+any document, it becomes a span of its own: ``term``, generalised to its class when the share of
+disclosed information is below ``REMOVE``, else removed.
 
 Work: one pass finds entities and the terms around them, one counts the documents of candidate
 terms, one looks for disclosing terms. The last two let only those words leave Python that hit a
@@ -87,16 +89,29 @@ def term_of(word: str) -> str:
     return word.strip(OUTER).lower()
 
 
+def nearest(text: str, at: int, reach: int, step: int) -> list[str]:
+    """The ``reach`` words before (step -1) or after (step 1) a place, whatever their length."""
+    size = 16 * reach
+    while True:
+        part = text[max(0, at - size) : at] if step < 0 else text[at : at + size]
+        words = part.split()
+        # a word at the edge may be cut, so one more than asked for is needed
+        if len(words) > reach or size >= (at if step < 0 else len(text) - at):
+            return words[-reach:] if step < 0 else words[:reach]
+        size *= 2
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str]]:
-    """(entity, term) for the terms within ``reach`` words of each span."""
+    """(entity, term) for the terms within ``reach`` words of each span; entity: a value, or its kind."""
     out = set()
+    bare = text
+    for _, s, e in spans:
+        bare = bare[:s] + " " * (e - s) + bare[e:]
     for kind, s, e in spans:
-        left = text[max(0, s - 60 * reach) : s].split()[-reach:]
-        right = text[e : e + 60 * reach].split()[:reach]
-        for w in (*left, *right):
-            t = term_of(w)
-            if t and not DIGIT.search(t) and "@" not in t and len(t) <= 60:
+        for w in (*nearest(bare, s, reach, -1), *nearest(bare, e, reach, 1)):
+            if t := term_of(w):
                 out.add((f"{kind}:{text[s:e].lower()}", t))
+                out.add((kind, t))
     return sorted(out)
 
 
@@ -192,7 +207,7 @@ def disclosing_terms(base: DataFrame, docs: DataFrame) -> DataFrame:
     ic = F.log2(total / F.col("n_entity"))
     # documents that hold a term only elsewhere raise n_term; repeated rows must not raise it above all
     pmi = F.log2(total * F.col("both") / (F.col("n_entity") * F.greatest("n_term", "both")))
-    level = F.when(ic > 0, pmi / ic).otherwise(F.lit(1.0))
+    level = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     return x.select("term", level.alias("level")).where(F.col("level") >= DISCLOSURE).groupBy("term").agg(F.max("level").alias("level"))
 
 
