@@ -13,7 +13,8 @@ only if every page with that element has them.
 
 Every page takes part in its host's wrapper. Pages of one structure are folded in the task that
 reads them, then distinct structures by (host, part), then by host; merging gives a wrapper no
-larger than what the structures differ in.
+larger than what the structures differ in. Paths are hashes that grow with each open element, and
+nothing recurses by nesting, so pages may be as deep and long as they like.
 
 Nulls: a null page is empty; a null or odd url has the empty host. Repeated rows are extracted
 alike. Unclosed elements end with their parent, cut-off tags are dropped, unknown character
@@ -22,6 +23,7 @@ references stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import html
@@ -57,29 +59,79 @@ TOKEN = re.compile(
 )
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
-LONGEST_CONSTANT = 120
+P61 = (1 << 61) - 1
+REST, MAIN, OUT = "r", "m", "o"
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path, text) of each block of text, in page order; path: the open elements with their marks."""
-    stack: list[tuple[str, str]] = []  # (name, label)
+def number(text: str) -> int:
+    """A number that stands for a text, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+
+
+@functools.lru_cache(1 << 14)
+def label_of(name: str, marks: tuple[str, ...]) -> tuple[int, bool, bool, bool]:
+    """(number, outside, outside unless in the main element, main) of an element with its marks."""
+    out = name in OUTSIDE_TAGS or not OUTSIDE_WORDS.isdisjoint(marks)
+    head = name == "header" or not HEAD_WORDS.isdisjoint(marks)
+    main = name in MAIN_TAGS or name not in ("html", "body", "p") and not MAIN_WORDS.isdisjoint(marks)
+    return number(".".join((name, *marks))), out, head, main
+
+
+class Element:
+    """An open element: where it stands, the path to where that began, and the path from there."""
+
+    __slots__ = ("name", "kind", "outer", "inner")
+
+    def __init__(self, name: str, kind: str, outer: int, inner: int) -> None:
+        self.name, self.kind, self.outer, self.inner = name, kind, outer, inner
+
+    def child(self, name: str, marks: tuple[str, ...]) -> Element:
+        label, out, head, main = label_of(name, marks)
+        kind = self.kind
+        if kind != OUT:
+            kind = OUT if out or head and kind != MAIN else MAIN if main else kind
+        if kind == self.kind:
+            return Element(name, kind, self.outer, (self.inner * 1_000_003 + label) % P61)
+        return Element(name, kind, (self.outer * 998_244_353 + self.inner * 1_000_003 + label) % P61, 0)
+
+
+class Open:
+    """The open elements; each end tag finds its element at once."""
+
+    def __init__(self) -> None:
+        self.stack = [Element("", REST, 0, 0)]
+        self.at: dict[str, list[int]] = {}  # name: places in the stack
+        self.scopes = [0]
+
+    def push(self, name: str, marks: tuple[str, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(self.stack[-1].child(name, marks))
+
+    def close(self, names: tuple[str, ...], inside_scope: bool) -> None:
+        """Closes the last of the elements and what it holds; ``inside_scope``: only if no scope began since."""
+        place = max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+        if place and not (inside_scope and self.scopes[-1] > place):
+            while len(self.stack) > place:
+                last = self.stack.pop()
+                self.at[last.name].pop()
+                if self.scopes[-1] == len(self.stack):
+                    self.scopes.pop()
+
+
+def blocks(page: str) -> Iterator[tuple[Element, str]]:
+    """(element, text) of each block of text, in page order."""
+    opened = Open()
     text: list[str] = []
     at = 0
 
-    def flush() -> Iterator[tuple[tuple[str, ...], str]]:
+    def flush() -> Iterator[tuple[Element, str]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole:
-                yield tuple(label for name, label in stack if name not in INLINE), whole
-
-    def close(names: tuple[str, ...], scope: frozenset) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in scope:
-                return
+                yield opened.stack[-1], whole
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -100,47 +152,48 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             continue
         yield from flush()
         if m["end"]:
-            close((name,), frozenset())
+            opened.close((name,), False)
             continue
         if name not in SCOPE or name in ("ul", "ol", "dl", "table", "div", "section", "form"):
-            close(("p",), SCOPE)
+            opened.close(("p",), True)
         if name in CLOSES:
-            close(CLOSES[name], SCOPE)
-        marks = WORDS.findall(" ".join(MARKS.findall(m["attrs"])).lower())
+            opened.close(CLOSES[name], True)
         if not m["attrs"].endswith("/"):
-            stack.append((name, ".".join((name, *dict.fromkeys(marks)))))
+            opened.push(name, tuple(dict.fromkeys(WORDS.findall(" ".join(MARKS.findall(m["attrs"])).lower()))))
     if at < len(page):
         text.append(page[at:])
     yield from flush()
 
 
-# A wrapper is a list of nodes [kind, key, inside]: "e" an element (key: label), "t" text (key: "#",
-# inside: the constant, or null for a slot, and up to two contents of pages that have it), "?" an
-# optional group, "+" a repeated one.
+# A wrapper is a list of nodes [kind, key, inside] in two levels: "e" an element (key: a stretch of the
+# path), "t" text (key: "#", inside: the number of the constant, or null for a slot, and up to two
+# contents of pages that have it), "?" an optional group, "+" a repeated one.
 
 
-def grown(found: list[tuple[tuple[str, ...], str]], leaves: list) -> list:
+def grown(found: list[tuple[Element, str]], leaves: list) -> list:
     """Elements of one page. Blocks that follow each other share the elements that their paths share."""
     root: list = []
-    for (path, _), leaf in zip(found, leaves, strict=True):
-        level = root
-        fresh = False
-        for label in path:
-            if fresh or not level or level[-1][1] != label:
-                level.append(["e", label, []])
-                fresh = True
-            level = level[-1][2]
-        level.append(["t", "#", leaf])
+    for (element, _), leaf in zip(found, leaves, strict=True):
+        outer, inner = f"{element.kind}{element.outer}", str(element.inner)
+        if not root or root[-1][1] != outer:
+            root.append(["e", outer, []])
+        level = root[-1][2]
+        if not level or level[-1][1] != inner:
+            level.append(["e", inner, []])
+        level[-1][2].append(["t", "#", leaf])
     return root
 
 
-def tree(found: list[tuple[tuple[str, ...], str]]) -> list:
+def wanted(found: list[tuple[Element, str]]) -> str:
+    """Where a page's article stands."""
+    return MAIN if any(e.kind == MAIN for e, _ in found) else REST
+
+
+def tree(found: list[tuple[Element, str]]) -> list:
     """Nodes of one page."""
-    kinds = [standing(path) for path, _ in found]
-    wanted = "main" if "main" in kinds else "rest"
-    content = "\n".join(text for (_, text), kind in zip(found, kinds, strict=True) if kind == wanted)
-    seen = [int.from_bytes(hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")]
-    return folded(grown(found, [[text if len(text) <= LONGEST_CONSTANT else None, seen] for _, text in found]))
+    kind = wanted(found)
+    seen = [number("\n".join(text for e, text in found if e.kind == kind))]
+    return folded(grown(found, [[number(text), seen] for _, text in found]))
 
 
 def inner(node: list) -> list:
@@ -158,43 +211,69 @@ def same(a: list, b: list) -> list:
     return ["e", a[1], aligned(a[2], b[2])]
 
 
+def places(nodes: list) -> dict[tuple[str, int], int]:
+    """(key, how often it came before): place."""
+    seen: dict[str, int] = {}
+    out = {}
+    for i, node in enumerate(nodes):
+        n = seen.get(node[1], 0)
+        seen[node[1]] = n + 1
+        out[node[1], n] = i
+    return out
+
+
+def increasing(values: list[int]) -> list[int]:
+    """Places of a longest increasing subsequence."""
+    tops: list[int] = []
+    last: list[int] = []
+    before = []
+    for i, v in enumerate(values):
+        k = bisect.bisect_left(tops, v)
+        tops[k : k + 1] = [v]
+        last[k : k + 1] = [i]
+        before.append(last[k - 1] if k else -1)
+    out = []
+    i = last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
 def aligned(a: list, b: list) -> list:
-    """Two lists of nodes as one: a longest common subsequence of keys, the rest optional."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][1] == b[j][1] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    """Two lists of nodes as one: most nodes of one key that come in one order are matched, the rest is optional."""
+    in_b = places(b)
+    common = [(i, in_b[k]) for k, i in places(a).items() if k in in_b]
+    matched = [common[k] for k in increasing([j for _, j in common])]
+    out: list = []
     maybe = lambda x: x if x[0] == "?" else ["?", x[1], [x]]
-    while i < n or j < m:
-        if i < n and j < m and a[i][1] == b[j][1]:
-            out.append(same(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(maybe(a[i]))
-            i += 1
-        else:
-            out.append(maybe(b[j]))
-            j += 1
+    i = j = 0
+    for p, q in (*matched, (len(a), len(b))):
+        out += map(maybe, a[i:p])
+        out += map(maybe, b[j:q])
+        if p < len(a):
+            out.append(same(a[p], b[q]))
+        i, j = p + 1, q + 1
     return folded(out)
 
 
-def folded(nodes: list, longest: int = 3) -> list:
-    """Nodes with runs of equal keys (of one, two or three nodes) as repeated groups."""
-    out = [[k, key, folded(x) if k == "e" else x] for k, key, x in nodes]
-    for size in range(1, longest + 1):
-        i = 0
-        while i + 2 * size <= len(out):
-            first, second = out[i : i + size], out[i + size : i + 2 * size]
-            if [x[1] for x in first] == [x[1] for x in second]:
-                if size == 1:
-                    group = ["+", first[0][1], aligned_once(inner(first[0]), inner(second[0]))]
-                    out[i : i + 2] = [group]
-                else:
-                    out[i : i + 2 * size] = [["+", first[0][1], [same(x, y) for x, y in zip(first, second, strict=True)]]]
-            else:
-                i += 1
+def folded(nodes: list) -> list:
+    """Nodes with runs of equal keys, of any number of nodes, as repeated groups."""
+    out: list = []
+    last: dict[str, list[int]] = {}
+    for kind, key, x in nodes:
+        out.append([kind, key, folded(x) if kind == "e" else x])
+        last.setdefault(key, []).append(len(out) - 1)
+        while len(last[out[-1][1]]) > 1:
+            size = len(out) - 1 - last[out[-1][1]][-2]
+            first, second = out[-2 * size : -size], out[-size:]
+            if 2 * size > len(out) or [n[1] for n in first] != [n[1] for n in second]:
+                break
+            for node in reversed(out[-2 * size :]):
+                last[node[1]].pop()
+            group = aligned_once(inner(first[0]), inner(second[0])) if size == 1 else [same(u, v) for u, v in zip(first, second, strict=True)]
+            out[-2 * size :] = [["+", first[0][1], group]]
+            last[first[0][1]].append(len(out) - 1)
     return out
 
 
@@ -203,39 +282,16 @@ def aligned_once(a: list, b: list) -> list:
 
 
 def shape(nodes: list) -> str:
-    """The structure without its text."""
-    return json.dumps([[k, key, "" if k == "t" else json.loads(shape(x))] for k, key, x in nodes])
-
-
-def outside(label: str, within: bool) -> bool:
-    """Is an element not of the article? ``within``: it lies in the main element."""
-    name, *marks = label.split(".")
-    if name in OUTSIDE_TAGS or not OUTSIDE_WORDS.isdisjoint(marks):
-        return True
-    return not within and (name == "header" or not HEAD_WORDS.isdisjoint(marks))
-
-
-def is_main(label: str) -> bool:
-    name, *marks = label.split(".")
-    return name in MAIN_TAGS or name not in ("html", "body", "p") and not MAIN_WORDS.isdisjoint(marks)
-
-
-@functools.lru_cache(1 << 14)
-def standing(path: tuple[str, ...]) -> str:
-    """Where a block lies: in the ``main`` element, ``out`` of the article, or in the ``rest``."""
-    within = False
-    for label in path:
-        if outside(label, within):
-            return "out"
-        within |= is_main(label)
-    return "main" if within else "rest"
+    """A number for the structure without its text."""
+    bare = lambda ns: [[k, key, "" if k == "t" else bare(x)] for k, key, x in ns]
+    return f"{number(json.dumps(bare(nodes))):x}"
 
 
 class Level:
     """The nodes of one level of a wrapper in their order, to be matched with the elements of a page."""
 
-    def __init__(self, nodes: list, path: tuple[str, ...] = (), varied: bool = False) -> None:
-        self.path = path
+    def __init__(self, nodes: list, main: bool = False, varied: bool = False) -> None:
+        self.main = main
         self.inside: list[Level | bool] = []  # the level of an element; of a text, is it fixed
         self.at: dict[str, list[int]] = {}  # key: its positions
         self.required = [0]  # nodes before each position that are in no optional group
@@ -254,11 +310,10 @@ class Level:
             self.required.append(self.required[-1] + (not optional))
             if kind == "t":
                 constant, seen = x
-                self.inside.append(constant is not None and len(seen) > 1 and not (varied and standing(self.path) == "main"))
+                self.inside.append(constant is not None and len(seen) > 1 and not (varied and self.main))
             else:
-                path = (*self.path, key)
-                enters = standing(path) == "main" != standing(self.path)
-                self.inside.append(Level(x, path, varied and not enters))
+                enters = key[0] == MAIN
+                self.inside.append(Level(x, self.main or enters, varied and not enters))
 
     def step(self, p: int, q: int) -> int:
         """Required nodes that are left out when position q follows p; many if it cannot."""
@@ -282,32 +337,19 @@ class Level:
                 self.inside[at].match(x, fixed)
             at = way[at][1]
 
-    def texts(self) -> Iterator[tuple[tuple[str, ...], bool]]:
-        """(path, is it fixed) of every text."""
-        for x in self.inside:
-            if isinstance(x, Level):
-                yield from x.texts()
-            else:
-                yield self.path, x
-
-
-def kept_paths(wrapper: list, pages: int) -> list[list[str]]:
-    """Paths of the text slots that may hold a page's article."""
-    found = [path for path, fixed in Level(wrapper).texts() if standing(path) != "out" and (pages == 1 or not fixed)]
-    return [list(p) for p in dict.fromkeys(found)]
-
 
-def article(page: str | None, wrapper: Level) -> str:
-    """The article of a page by the wrapper of its host."""
+def article(page: str | None, wrapper: Level | None) -> str:
+    """The article of a page by the wrapper of its host; without a wrapper no text is template text."""
     found = list(blocks(page or ""))
     fixed = [False] * len(found)
-    wrapper.match(grown(found, list(range(len(found)))), fixed)
-    kinds = [standing(path) for path, _ in found]
-    wanted = "main" if "main" in kinds else "rest"
-    return "\n\n".join(text for (_, text), kind, drop in zip(found, kinds, fixed, strict=True) if kind == wanted and not drop)
+    if wrapper is not None:
+        wrapper.match(grown(found, list(range(len(found)))), fixed)
+    kind = wanted(found)
+    return "\n\n".join(text for (e, text), drop in zip(found, fixed, strict=True) if e.kind == kind and not drop)
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+SALTS = 32
 PART = "host string, shape string, wrapper string"
 
 
@@ -366,7 +408,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append(article(page, known[w]))
             yield pd.Series(out, dtype=object)
 
-    return keyed.join(wrappers, "__host").withColumn("text", articles("html", "__wrapper")).drop("__host", "__wrapper")
+    # wrappers are small; copies of each spread the pages of a host that has very many
+    keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
+    wrappers = wrappers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    out = keyed.join(wrappers, ["__host", "__salt"]).withColumn("text", articles("html", "__wrapper"))
+    return out.select(*[c for c in pages.columns if c != "text"], "text")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
