@@ -41,7 +41,7 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK = 128
 SLOTS_PER_SHARD = 256
-DOCS_PER_BIN = 1024
+DOCS_PER_BIN = 512
 MAX_SOURCES = 100_000
 SEED = 42
 WORD = r"[^\x20\x09-\x0D]+"

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table, written
 from .hashing import Words
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -260,9 +260,15 @@ def windows_of(features: Features, text: str) -> Iterator[tuple[bool, np.ndarray
 def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, max_windows: int = TRAIN_WINDOWS) -> dict | None:
     """A field trained on a bounded sample of the texts; None if no base rule matches there."""
     ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), F.col("text").rlike(ANY_BASE).alias("match"))
-    # a limit of each kind in one pass over the texts
-    nth = F.row_number().over(Window.partitionBy("match").orderBy("h", "doc_id"))
-    pick = ids.withColumn("nth", nth).where(F.col("nth") <= max_rows // 2).select("doc_id").distinct()
+    ids = written(ids, "secret-ids")
+    # the hashes are spread evenly: a share of them that surely holds the sample, then its smallest
+    rows = {r["match"]: r["n"] for r in ids.groupBy("match").agg(F.count("*").alias("n")).collect()}
+    share = {m: min(1.0, 4 * max_rows / n) for m, n in rows.items()}
+    half = [ids.where((F.col("match") == m) & (F.col("h") / 2.0**64 + 0.5 <= x)).orderBy("h", "doc_id").limit(max_rows // 2) for m, x in share.items()]
+    if not half:
+        return None
+    pick = written(half[0].unionByName(half[-1]).select("doc_id").distinct(), "secret-sample")
+    free(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id")  # at most max_rows rows
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
