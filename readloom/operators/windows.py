@@ -41,12 +41,13 @@ def bounds_table(spark, bounds: dict[str, tuple[int, int]]) -> DataFrame:
 
 
 def tile(reads: DataFrame, bounds: DataFrame, width: int, shift: int) -> DataFrame:
-    """One row for each read and window that it overlaps (J1): ``win_b``, 0-based.
+    """One row for each read and window that it overlaps (J1): ``win_b``, 0-based, and ``columns``, the read's length.
 
     ``bounds`` (chrom, roi_b, roi_e) has one row for each sequence. shift 0: one window.
     """
-    r = reads.join(bounds, "chrom")
-    s, e, b = F.col("pos0"), F.col("pos0") + F.length("gapped"), F.col("roi_b")
+    # the length is taken once a read, not once a window
+    r = reads.withColumn("columns", F.length("gapped")).join(bounds, "chrom")
+    s, e, b = F.col("pos0"), F.col("pos0") + F.col("columns"), F.col("roi_b")
     if shift == 0:
         hit = (s < b + width) & (e > b) & (b + width - 1 <= F.col("roi_e"))
         return r.where(hit).withColumn("win_b", b).drop("roi_b", "roi_e")
@@ -65,15 +66,18 @@ def cap_starts(tiled: DataFrame, most: int) -> DataFrame:
 
 def overlap(width: int):
     """Columns that a read shares with its window, counted with an exclusive read end (P5, Q2)."""
-    end = F.col("pos0") + F.length("gapped")
+    end = F.col("pos0") + F.col("columns")
     return F.least(end, F.col("win_b") + width - 1) - F.greatest(F.col("pos0"), F.col("win_b")) + 1
 
 
 def window_reads(reads: DataFrame, bounds: DataFrame, width: int, shift: int, min_overlap: int, most: int) -> DataFrame:
     """(chrom, beg, end, file_ord, qname, pos0, seq): the reads of each window, 1-based ends."""
-    kept = cap_starts(tile(reads, bounds, width, shift), most)
-    kept = kept.where((F.length("gapped") >= min_overlap) & (overlap(width) >= min_overlap))
-    return kept.select("chrom", (F.col("win_b") + 1).alias("beg"), (F.col("win_b") + width).alias("end"), "file_ord", "qname", "pos0", window_slice(F.col("gapped"), F.col("pos0"), F.col("win_b"), width).alias("seq"))
+    # a row has its window's columns alone before it is shuffled
+    tiled = tile(reads, bounds, width, shift).withColumn("long_enough", (F.col("columns") >= min_overlap) & (overlap(width) >= min_overlap))
+    part = F.when(F.col("long_enough"), window_slice(F.col("gapped"), F.col("pos0"), F.col("win_b"), width))
+    tiled = tiled.select("chrom", "win_b", "pos0", "file_ord", "qname", "long_enough", part.alias("seq"))
+    kept = cap_starts(tiled, most).where("long_enough")
+    return kept.select("chrom", (F.col("win_b") + 1).alias("beg"), (F.col("win_b") + width).alias("end"), "file_ord", "qname", "pos0", "seq")
 
 
 def coverage(rows: DataFrame, above: int = 0) -> DataFrame:
