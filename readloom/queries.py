@@ -126,7 +126,7 @@ def _haps(rows: DataFrame) -> DataFrame:
 
 
 def _variants(spark, sf_dir):
-    reference = pileup.consensus_sequences(_counts(spark, sf_dir))
+    reference = pileup.consensus_pieces(_counts(spark, sf_dir), snv.BIN)
     return snv.variants(_haps(_covered(spark, sf_dir)), reference, 0.4)
 
 
@@ -164,7 +164,8 @@ def _candidates(spark, sf_dir):
     subs = subs.select("chrom", F.col("pos").cast("int").alias("pos"), "ref", F.col("base").alias("var"))
     runs = strand.gap_runs(r.select("chrom", "file_ord", "pos0", "gapped"), "chrom", "file_ord", "pos0")
     runs = runs.groupBy("chrom", (F.col("pos0") + F.col("start")).alias("pos"), "size").agg(F.count("*").alias("n")).where("n >= 2 and pos > 0")
-    dels = runs.join(pileup.consensus_sequences(n), "chrom").select("chrom", F.col("pos").cast("int").alias("pos"), F.substr("seq", F.col("pos"), F.col("size").cast("int") + 1).alias("ref"), F.substr("seq", F.col("pos"), F.lit(1)).alias("var"))
+    places = runs.select("chrom", F.col("pos").alias("beg"), (F.col("pos") + F.col("size")).alias("end"))
+    dels = snv.with_reference(places, pileup.consensus_pieces(n, snv.BIN)).select("chrom", F.col("beg").cast("int").alias("pos"), F.col("ref_part").alias("ref"), F.substr("ref_part", F.lit(1), F.lit(1)).alias("var"))
     return subs.union(dels.where(F.length("ref") > 1))
 
 
@@ -374,8 +375,8 @@ ORACLES = {
     "strand_counts": f"""WITH {_COUNTS}, {_CONS},
       gaps AS (SELECT rid, chrom, pos0, min(i) AS start, count(*) AS size FROM (
           SELECT *, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS island FROM (SELECT rid, chrom, pos0, seq, unnest(range(0, length(seq))) AS i FROM reads) WHERE substr(seq, i::INTEGER + 1, 1) = '-') GROUP BY rid, chrom, pos0, island),
-      v AS (SELECT c.chrom, c.pos, k.base AS ref, c.base AS var, c.pos AS lo, c.pos AS hi FROM (SELECT *, sum(n) OVER (PARTITION BY chrom, pos) AS depth FROM counts) c
-          JOIN cons k ON k.chrom = c.chrom AND k.pos = c.pos WHERE c.base <> k.base AND c.base <> '-' AND k.base <> '-' AND n >= 5 AND 10 * n >= 3 * depth
+      v AS (SELECT c.chrom, c.pos, k.base AS ref, c.base AS var, c.pos AS lo, c.pos AS hi FROM counts c
+          JOIN cons k ON k.chrom = c.chrom AND k.pos = c.pos WHERE c.base <> k.base AND c.base <> '-' AND k.base <> '-' AND n >= 5
         UNION ALL
         SELECT d.chrom, pos, substr(seq, pos::INTEGER, size::INTEGER + 1), substr(seq, pos::INTEGER, 1), pos + 1, pos + size FROM (
           SELECT chrom, pos0 + start AS pos, size FROM gaps GROUP BY ALL HAVING count(*) >= 2) d JOIN genome g ON g.chrom = d.chrom WHERE pos > 0),
