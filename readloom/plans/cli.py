@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import readers, sinks
+from ..operators import haplotypes, windows
+from ..sources import files, readers, sinks
 from . import analysis
 
 
@@ -36,8 +38,8 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("-m", "--min_overlap", type=float, default=0.95)
     v = sub.add_parser("snv", parents=[common])
     v.add_argument("-i", "--increment", type=int, default=1)
-    v.add_argument("--haplotypes", required=True, help="Parquet table of haplotypes")
-    v.add_argument("--windows", required=True, help="Parquet table of windows")
+    v.add_argument("--haplotypes", required=True, help="Parquet table of haplotypes, or the folder of their files")
+    v.add_argument("--windows", required=True, help="Parquet table of windows, or their coverage file (.txt)")
     return p
 
 
@@ -48,23 +50,40 @@ def main(args: list[str] | None = None) -> None:
         alpha=a.alpha, region=a.region, seed=a.seed, max_coverage=a.maxcov, sigma=a.sigma, ignore_indels=a.ignore_indels, threshold=a.threshold,
         win_coverage=getattr(a, "win_coverage", 0), width=getattr(a, "windowsize", 201), shifts=getattr(a, "winshifts", 3), min_overlap=getattr(a, "min_overlap", 0.95), diversity=getattr(a, "diversity", False),
     )
-    reference = readers.read_fasta(spark, a.fasta).select(F.col("id").alias("chrom"), "seq")
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    logging.info("%s of %s", a.command, a.bam)
+    reference = readers.read_fasta(spark, a.fasta).select(F.col("id").alias("chrom"), "seq", "ord")
     reads = analysis.kept(readers.aligned_reads(readers.read_alignments(spark, a.bam), mask_indels=a.ignore_indels))
     single = a.command == "amplicon" or a.command == "snv" and a.increment == 1
     if a.command == "snv":
-        cov = spark.read.parquet(a.windows)
-        _, calls = analysis.call_snvs(spark.read.parquet(a.haplotypes), reads, reference, cov, a.increment, o, single)
+        text = a.windows.endswith(".txt")
+        cov = files.read_coverage(spark, a.windows) if text else spark.read.parquet(a.windows)
+        haps = files.read_support(spark, a.haplotypes) if text else spark.read.parquet(a.haplotypes)
+        raw, snvs, calls = analysis.call_snvs(haps, reads, reference.select("chrom", "seq"), cov, a.increment, o, single)
         lengths = {r["chrom"]: r["n"] for r in reference.select("chrom", F.length("seq").alias("n")).collect()}
     else:
         result = (analysis.shotgun if a.command == "shotgun" else analysis.amplicon)(spark, reads, reference, o)
         result.windows.write.mode("overwrite").parquet(f"{a.out}/windows")
         result.haplotypes.write.mode("overwrite").parquet(f"{a.out}/haplotypes")
-        sinks.write_corrected(analysis.corrected_reads(reads, result), f"{a.out}/corrected")
-        calls, lengths = result.calls, result.lengths
+        files.write_coverage(result.windows, f"{a.out}/coverage.txt")
+        files.write_support(result.haplotypes, f"{a.out}/support")
+        files.write_window_corrected(result.corrected, result.windows, f"{a.out}/corrected_windows")
+        files.write_proposed(haplotypes.proposed_rate(result.stats), f"{a.out}/proposed")
+        if result.convergence is not None:
+            for r in result.convergence.where("low_untouched or few_new_clusters").collect():  # one window
+                logging.warning("window %s: %.1f %% of reads untouched, %d clusters proposed", r["beg"], r["untouched_pct"], r["made"])
+        if result.entropy is not None:
+            files.write_entropy(sinks.entropy_rows(*result.entropy), f"{a.out}/entropy_csv")
+        begin = windows.region_bounds(result.lengths, o.width // o.shifts, o.region) if o.region else {}
+        sinks.write_corrected(analysis.corrected_reads(reads, result), f"{a.out}/corrected", min((b for b, _ in begin.values()), default=0))
+        raw, snvs, calls, lengths = result.raw, result.snvs, result.calls, result.lengths
+    files.write_snvs(raw, f"{a.out}/raw_snv", single)
+    files.write_snvs(snvs, f"{a.out}/SNV", single)
+    files.write_snvs(calls, f"{a.out}/SNVs_{o.sigma:f}", single)
     if "csv" in a.out_format:
         sinks.write_csv(calls, f"{a.out}/snvs_csv", single)
     if "vcf" in a.out_format:
-        sinks.write_vcf(calls, lengths, f"{a.out}/snvs_vcf", single=single)
+        sinks.write_vcf(calls, lengths, f"{a.out}/snvs_vcf", single=single, reference=a.fasta)
 
 
 if __name__ == "__main__":

@@ -52,6 +52,18 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def unpacked(content: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The pieces of a block-compressed file, fed in small steps: what follows a block is never copied whole."""
+    z = zlib.decompressobj(31)
+    at = 0
+    while at < len(content):
+        part = content[at : at + step]
+        yield z.decompress(part)
+        at += len(part) - len(z.unused_data)
+        if z.eof:
+            z = zlib.decompressobj(31)
+
+
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of BAM files (READS), one task for each file."""
     letters, ops = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -61,13 +73,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
             for content in batch["content"]:
                 if content[:4] == b"CRAM":
                     raise ValueError("CRAM files are not supported; convert to BAM or SAM")
-                data, rest = b"", content
-                parts = []
-                while rest:
-                    z = zlib.decompressobj(31)
-                    parts.append(z.decompress(rest) + z.flush())
-                    rest = z.unused_data
-                data = b"".join(parts)
+                data = b"".join(unpacked(memoryview(content)))
                 if data[:4] != b"BAM\1":
                     raise ValueError("not a BAM file")
                 at = 8 + struct.unpack_from("<i", data, 4)[0]

@@ -35,24 +35,35 @@ def write_csv(calls: DataFrame, path: str, single: bool = False) -> None:
     call_columns(calls, single).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(path)
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    """Tab-separated text: SNV tables (K8, K9), window lists (K3), proposed rates (K7)."""
-    df.coalesce(1).write.mode("overwrite").option("header", header).option("sep", "\t").csv(path)
-
-
-def vcf_lines(calls: DataFrame, lengths: dict[str, int], source: str = "readloom", day: date | None = None, single: bool = False) -> DataFrame:
+#: What the fields of a VCF line hold.
+FIELDS = {
+    "Freq": "Frequency of the variant",
+    "Post": "Posterior probability of the variant",
+    "Fvar": "Number of forward reads with variant",
+    "Rvar": "Number of reverse reads with variant",
+    "Ftot": "Total number of forward reads",
+    "Rtot": "Total number of reverse reads",
+    "Pval": "P-value for strand bias",
+    "Qval": "Q-value for strand bias",
+}
+
+
+def vcf_lines(calls: DataFrame, lengths: dict[str, int], source: str = "readloom", day: date | None = None, single: bool = False, reference: str = "") -> DataFrame:
     """(ord, value): lines of a VCFv4.2 file."""
     spark = calls.sparkSession
     info = ["Freq,Post"] if single else ["Freq1,Freq2,Freq3,Post1,Post2,Post3"]
     names = [*info[0].split(","), *CALLS]
     kinds = {c: "Integer" for c in CALLS[:4]}
     meta = ["##fileformat=VCFv4.2", f"##fileDate={(day or date.today()):%Y%m%d}", f"##source={source}"]
+    meta += [f"##reference={reference}"] if reference else []
     meta += [f"##contig=<ID={c},length={n}>" for c, n in lengths.items()]
-    meta += [f'##INFO=<ID={n},Number=1,Type={kinds.get(n, "Float")},Description="{n}">' for n in names]
+    meta += [f'##INFO=<ID={n},Number=1,Type={kinds.get(n, "Float")},Description="{FIELDS[n[:4]]}{f" in window {n[4:]}" if n[4:] else ""}">' for n in names]
     meta.append("#" + "\t".join("CHROM POS ID REF ALT QUAL FILTER INFO".split()))
     values = {"Freq": "frq3", "Post": "pst3"} | {f"Freq{k}": f"frq{k}" for k in (1, 2, 3)} | {f"Post{k}": f"pst{k}" for k in (1, 2, 3)}
-    # a slot without a number counts as 0
-    text = lambda n: F.format_string("%.4f", F.coalesce(values[n], F.lit(0.0))) if n in values else F.col(n.lower()).cast("string")
+    # an absent variant counts as 0; a slot without a window is left out
+    number = lambda n: F.format_string("%.4f", F.coalesce(values[n], F.lit(0.0)))
+    slot = lambda n: number(n) if single else F.when(F.col(f"state{n[-1]}") != "none", number(n))
+    text = lambda n: slot(n) if n in values else F.col(n.lower()).cast("string")
     fields = F.concat_ws(";", *(F.concat(F.lit(f"{n}="), text(n)) for n in names))
     qual = F.format_string("%.4f", phred(mean_posterior(calls)))
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "var", qual, F.lit("PASS"), fields)
