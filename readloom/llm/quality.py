@@ -4,8 +4,8 @@ Two zstandard dictionaries hold labelled text, one good and one bad, of the same
 compressed with either, in blocks so short that what counts is the dictionary and not what the text
 repeats of itself; the difference of the two sizes, divided by the text's own size, says which of the
 two it resembles. It is calibrated on other labelled rows than those of the dictionaries: the score is
-a function of this difference alone that never falls, the mean of an isotonic regression, which
-follows the sample, and a logistic curve, which tells all differences apart.
+a function of this difference alone that never falls, half an isotonic regression, which
+follows the sample, and half a logistic curve, which tells all differences apart.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows (those with the smallest hashes of doc_id), and
 like scoring it compresses whole texts, in tasks that give only numbers back. Labels, lang, source and doc_id
@@ -32,8 +32,8 @@ from .common import table
 
 TRAIN_ROWS = 4000
 DICT_BYTES = 1 << 16
-PIECE_BYTES = 300
-BLOCK_BYTES = 256
+PIECE_BYTES = 200
+BLOCK_BYTES = 128
 LEVEL = 6
 THRESHOLD = 0.3
 
