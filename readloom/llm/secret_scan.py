@@ -34,7 +34,7 @@ from .hashing import Words
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_ROWS = 1200
-TRAIN_WINDOWS = 3000
+TRAIN_WINDOWS = 2000
 SPAN_WORDS = 32
 SHORTEST = 12
 CUE = r"password|passwd|secret|token|api_?key"
@@ -146,7 +146,7 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(windows: np.ndarray, tags: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> dict:
+def train(windows: np.ndarray, tags: np.ndarray, rounds: int = 80, ridge: float = 2e-4) -> dict:
     """Weights of a field by AdaGrad on the log-likelihood; windows (S, T, groups), tags (S, T)."""
     s, t, _ = windows.shape
     emit, move = np.zeros((sum(GROUPS), 3)), np.zeros((3, 3))
@@ -174,8 +174,8 @@ def train(windows: np.ndarray, tags: np.ndarray, rounds: int = 60, ridge: float
         grad_m = (true_moves - pair.sum((0, 1))) / s - ridge * move
         seen_e += grad_e**2
         seen_m += grad_m**2
-        emit += 0.5 * grad_e / np.sqrt(seen_e)
-        move += 0.5 * grad_m / np.sqrt(seen_m)
+        emit += grad_e / np.sqrt(seen_e)
+        move += grad_m / np.sqrt(seen_m)
     return {"emit": emit, "move": move}
 
 
