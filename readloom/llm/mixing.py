@@ -6,9 +6,9 @@
 2. The words of a source, its documents in a pseudorandom order, are packed into blocks of
    ``BLOCK`` words; a document's place is a prefix sum in two steps (bins within a source, documents
    within a bin), so a source with a third of all rows is no single task's work.
-3. The mix is a row of output shards of equal slots. For each shard of the first three quarters,
-   counts of slots by source are drawn from the multinomial distribution of the targets. The last
-   quarter is scaled: it holds what each source still lacks, in equal parts. A source that was drawn
+3. The mix is a row of output shards of equal slots. For each shard of the first half, counts of
+   slots by source are drawn from the multinomial distribution of the targets. The other half is
+   scaled: it holds what each source still lacks, in equal parts. A source that was drawn
    more often than its target asks keeps that, up to three passes over its blocks.
 4. The k-th slot of a source takes the block at place k of a pseudorandom permutation of the
    source's blocks (a Feistel network with cycle walking, another one for each pass over the
@@ -117,7 +117,7 @@ def slots(spark: SparkSession, sources: pd.DataFrame, block: int = BLOCK, seed:
     quota = passes * blocks + -(-rest // block)
     share = quota / quota.sum()
     shards = -(-int(quota.sum()) // SLOTS_PER_SHARD)
-    closing = -(-shards // 4)
+    closing = -(-shards // 2)
     drawn_shards = shards - closing
     per_group = max(1, min(1024, (1 << 20) // len(use)))
     groups = -(-shards // per_group)
