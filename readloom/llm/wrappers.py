@@ -13,7 +13,7 @@ only if every page with that element has them.
 
 Every page takes part in its host's wrapper. Pages of one structure are folded in the task that
 reads them, then distinct structures by (host, part), then by host; merging gives a wrapper no
-larger than what the structures differ in. Paths are hashes that grow with each open element, and
+larger than what the structures differ in. Long paths are known by a number, and
 nothing recurses by nesting, so pages may be as deep and long as they like.
 
 Nulls: a null page is empty; a null or odd url has the empty host. Repeated rows are extracted
@@ -59,7 +59,7 @@ TOKEN = re.compile(
 )
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
-P61 = (1 << 61) - 1
+LONGEST_KEY = 500
 REST, MAIN, OUT = "r", "m", "o"
 
 
@@ -69,12 +69,12 @@ def number(text: str) -> int:
 
 
 @functools.lru_cache(1 << 14)
-def label_of(name: str, marks: tuple[str, ...]) -> tuple[int, bool, bool, bool]:
-    """(number, outside, outside unless in the main element, main) of an element with its marks."""
+def label_of(name: str, marks: tuple[str, ...]) -> tuple[str, bool, bool, bool]:
+    """(label, outside, outside unless in the main element, main) of an element with its marks."""
     out = name in OUTSIDE_TAGS or not OUTSIDE_WORDS.isdisjoint(marks)
     head = name == "header" or not HEAD_WORDS.isdisjoint(marks)
     main = name in MAIN_TAGS or name not in ("html", "body", "p") and not MAIN_WORDS.isdisjoint(marks)
-    return number(".".join((name, *marks))), out, head, main
+    return ".".join((name, *marks)), out, head, main
 
 
 class Element:
@@ -82,7 +82,7 @@ class Element:
 
     __slots__ = ("name", "kind", "outer", "inner")
 
-    def __init__(self, name: str, kind: str, outer: int, inner: int) -> None:
+    def __init__(self, name: str, kind: str, outer: str, inner: str) -> None:
         self.name, self.kind, self.outer, self.inner = name, kind, outer, inner
 
     def child(self, name: str, marks: tuple[str, ...]) -> Element:
@@ -91,15 +91,20 @@ class Element:
         if kind != OUT:
             kind = OUT if out or head and kind != MAIN else MAIN if main else kind
         if kind == self.kind:
-            return Element(name, kind, self.outer, (self.inner * 1_000_003 + label) % P61)
-        return Element(name, kind, (self.outer * 998_244_353 + self.inner * 1_000_003 + label) % P61, 0)
+            return Element(name, kind, self.outer, short(f"{self.inner}/{label}"))
+        return Element(name, kind, short(f"{self.outer}{self.inner}/{label}"), "")
+
+
+def short(path: str) -> str:
+    """A path as it is, or a number for it if it is longer than LONGEST_KEY."""
+    return path if len(path) <= LONGEST_KEY else f"/{number(path):x}"
 
 
 class Open:
     """The open elements; each end tag finds its element at once."""
 
     def __init__(self) -> None:
-        self.stack = [Element("", REST, 0, 0)]
+        self.stack = [Element("", REST, "", "")]
         self.at: dict[str, list[int]] = {}  # name: places in the stack
         self.scopes = [0]
 
@@ -174,7 +179,7 @@ def grown(found: list[tuple[Element, str]], leaves: list) -> list:
     """Elements of one page. Blocks that follow each other share the elements that their paths share."""
     root: list = []
     for (element, _), leaf in zip(found, leaves, strict=True):
-        outer, inner = f"{element.kind}{element.outer}", str(element.inner)
+        outer, inner = f"{element.kind}:{element.outer}", element.inner
         if not root or root[-1][1] != outer:
             root.append(["e", outer, []])
         level = root[-1][2]
@@ -196,14 +201,23 @@ def tree(found: list[tuple[Element, str]]) -> list:
     return folded(grown(found, [[number(text), seen] for _, text in found]))
 
 
+def repeated(node: list) -> bool:
+    return node[0] == "+" or node[0] == "?" and node[2][0][0] == "+"
+
+
 def inner(node: list) -> list:
-    return node[2] if node[0] in "?+" else [node]
+    """What a group holds, or the node alone; an optional repeated group is seen through."""
+    while node[0] in "?+":
+        if node[0] == "+" or len(node[2]) > 1 or node[2][0][0] not in "?+":
+            return node[2]
+        node = node[2][0]
+    return [node]
 
 
 def same(a: list, b: list) -> list:
     """Two nodes of one key as one."""
     if a[0] in "?+" or b[0] in "?+":
-        kind = "+" if "+" in (a[0], b[0]) else "?"
+        kind = "+" if repeated(a) or repeated(b) else "?"
         return [kind, a[1], aligned(inner(a), inner(b))]
     if a[0] == "t":
         (x, seen), (y, others) = a[2], b[2]
@@ -261,19 +275,38 @@ def folded(nodes: list) -> list:
     """Nodes with runs of equal keys, of any number of nodes, as repeated groups."""
     out: list = []
     last: dict[str, list[int]] = {}
+    group = -1  # the last repeated group of several nodes
+
+    def put(node: list, size: int) -> None:
+        """A group in place of the last ``size`` nodes."""
+        for old in reversed(out[-size:]):
+            last[old[1]].pop()
+        out[-size:] = [node]
+        last.setdefault(node[1], []).append(len(out) - 1)
+
     for kind, key, x in nodes:
         out.append([kind, key, folded(x) if kind == "e" else x])
         last.setdefault(key, []).append(len(out) - 1)
-        while len(last[out[-1][1]]) > 1:
+        while True:
+            n = len(out) - 1 - group
+            if 0 <= group < len(out) - 1 and len(held := inner(out[group])) == n and [u[1] for u in held] == [v[1] for v in out[-n:]]:
+                put(["+", out[group][1], [same(u, v) for u, v in zip(held, out[-n:], strict=True)]], n + 1)
+                continue
+            if len(last[out[-1][1]]) < 2:
+                break
             size = len(out) - 1 - last[out[-1][1]][-2]
             first, second = out[-2 * size : -size], out[-size:]
-            if 2 * size > len(out) or [n[1] for n in first] != [n[1] for n in second]:
+            if 2 * size > len(out) or [u[1] for u in first] != [v[1] for v in second]:
                 break
-            for node in reversed(out[-2 * size :]):
-                last[node[1]].pop()
-            group = aligned_once(inner(first[0]), inner(second[0])) if size == 1 else [same(u, v) for u, v in zip(first, second, strict=True)]
-            out[-2 * size :] = [["+", first[0][1], group]]
-            last[first[0][1]].append(len(out) - 1)
+            if size == 1:
+                put(["+", first[0][1], aligned_once(inner(first[0]), inner(second[0]))], 2)
+            else:
+                name = "+" + short("/" + " ".join(u[1] for u in first))
+                put(["+", name, [same(u, v) for u, v in zip(first, second, strict=True)]], 2 * size)
+        if out[-1][1].startswith("+"):
+            group = len(out) - 1
+        elif group >= len(out):
+            group = -1
     return out
 
 
@@ -294,6 +327,7 @@ class Level:
         self.main = main
         self.inside: list[Level | bool] = []  # the level of an element; of a text, is it fixed
         self.at: dict[str, list[int]] = {}  # key: its positions
+        self.keys: list[str] = []
         self.required = [0]  # nodes before each position that are in no optional group
         self.loops: list[tuple[int, int]] = []
         self._add(nodes, varied, False)
@@ -307,12 +341,13 @@ class Level:
                     self.loops.append((first, len(self.inside)))
                 continue
             self.at.setdefault(key, []).append(len(self.inside))
+            self.keys.append(key)
             self.required.append(self.required[-1] + (not optional))
             if kind == "t":
                 constant, seen = x
                 self.inside.append(constant is not None and len(seen) > 1 and not (varied and self.main))
             else:
-                enters = key[0] == MAIN
+                enters = key.startswith(f"{MAIN}:")
                 self.inside.append(Level(x, self.main or enters, varied and not enters))
 
     def step(self, p: int, q: int) -> int:
@@ -338,6 +373,17 @@ class Level:
             at = way[at][1]
 
 
+def kept_paths(wrapper: list, pages: int) -> list[list[str]]:
+    """Paths of the text slots that may hold the article of one of so many pages."""
+    whole = Level(wrapper)
+    found = []
+    for outer, level in zip(whole.keys, whole.inside, strict=True):
+        for inner_, texts in zip(level.keys, level.inside, strict=True):
+            if outer[0] != OUT and (pages == 1 or not all(texts.inside)):
+                found.append(tuple(x for x in (outer[2:] + inner_).split("/") if x))
+    return [list(p) for p in dict.fromkeys(found)]
+
+
 def article(page: str | None, wrapper: Level | None) -> str:
     """The article of a page by the wrapper of its host; without a wrapper no text is template text."""
     found = list(blocks(page or ""))
@@ -410,7 +456,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     # wrappers are small; copies of each spread the pages of a host that has very many
     keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
-    wrappers = wrappers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    wrappers = wrappers.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     out = keyed.join(wrappers, ["__host", "__salt"]).withColumn("text", articles("html", "__wrapper"))
     return out.select(*[c for c in pages.columns if c != "text"], "text")
 
