@@ -1,108 +1,62 @@
 """Readers of sequence files, over whatever store Spark can read.
 
-SAM is line-oriented and read in splits; a BAM file is one task's work (block-compressed without an
-index); FASTA and FASTQ files are read whole, one task each.
+All are read in splits: SAM and FASTQ by lines, FASTA by records, BAM by compressed blocks (``bam``).
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import cleaned, gapped
+from .bam import read_bam
 
 #: Fixed value: flags of reads that are unmapped, secondary, of failed quality or duplicates.
 DROPPED_FLAGS = 0x704
-READS = "file_ord long, qname string, flag int, chrom string, pos0 int, cigar string, seq string"
+
+
+def numbered(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(value, file, start, nth): lines, the split they are in, and their place in it from 0."""
+    lines = spark.read.options(**options).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return lines.select("value", "file", "start", (F.col("row") - F.min("row").over(Window.partitionBy("file", "start"))).alias("nth"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq, ord): records in file order, upper case (S3)."""
-    whole = spark.read.text(path, wholetext=True)
-    rec = whole.select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "(?:^|\n)>")).alias("ord", "r")).where("ord > 0")
-    head = F.regexp_extract("r", r"^(\S*)", 1)
-    body = F.regexp_replace(F.regexp_replace("r", "^[^\n]*", ""), r"\s", "")
-    return rec.select(head.alias("id"), F.upper(body).alias("seq"), "ord")
+    """(id, seq, ord): records, upper case; ``ord`` rises with the place in the file (S3)."""
+    # a split has fewer records than bytes, so start + place rises through the file
+    rec = numbered(spark, path, lineSep="\n>").withColumn("ord", F.col("start") + F.col("nth"))
+    # the first record brings its own ">"; what stands before it is none
+    rec = rec.where((F.col("ord") > 0) | F.col("value").startswith(">"))
+    r = F.when(F.col("ord") == 0, F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    body = F.regexp_replace(F.regexp_replace(r, "^[^\n]*", ""), r"\s", "")
+    return rec.select(F.regexp_extract(r, r"^(\S*)", 1).alias("id"), F.upper(body).alias("seq"), "ord")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, tag, seq, qual, ord): four-line records in file order."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n")
-    rec = whole.select(lines.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 4) / 4).cast("int"))).alias("ord"))
-    at = lambda k: F.col("l")[F.col("ord") * 4 + k]
-    return rec.select(F.regexp_extract(at(0), r"^@(\S+)", 1).alias("id"), F.regexp_extract(at(0), r"^@\S+\s+(.*)", 1).alias("tag"), at(1).alias("seq"), at(3).alias("qual"), "ord")
+    """(id, tag, seq, qual, ord): four-line records, ``ord`` their number in the file."""
+    lines = numbered(spark, path)
+    # line numbers in two steps: lines of a split, splits of a file (one row each)
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    at = F.col("before") + F.col("nth")
+    part = lambda k: F.max(F.when(at % 4 == k, F.col("value")))
+    rec = lines.join(splits, ["file", "start"]).groupBy("file", F.floor(at / 4).alias("ord")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
+    rec = rec.where(F.col("head").startswith("@") & F.col("qual").isNotNull())
+    return rec.select(F.regexp_extract("head", r"^@(\S+)", 1).alias("id"), F.regexp_extract("head", r"^@\S+\s+(.*)", 1).alias("tag"), "seq", "qual", "ord")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of SAM text (READS), ``file_ord`` rising with the place in the file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
-    # a split has fewer lines than bytes, so start + line number rises through the file
-    first = F.min("row").over(Window.partitionBy("start", F.shiftright("row", 33)))
+    """Alignments of SAM text, ``file_ord`` rising with the place in the file."""
+    lines = numbered(spark, path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     c = lambda i: F.get(F.split("value", "\t"), F.lit(i))
     return lines.select(
-        (F.col("start") + F.col("row") - first).alias("file_ord"),
+        (F.col("start") + F.col("nth")).alias("file_ord"),
         c(0).alias("qname"), c(1).try_cast("int").alias("flag"), c(2).alias("chrom"), (c(3).try_cast("int") - 1).alias("pos0"), c(5).alias("cigar"), c(9).alias("seq"),
     )
 
 
-def unpacked(content: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
-    """The pieces of a block-compressed file, fed in small steps: what follows a block is never copied whole."""
-    z = zlib.decompressobj(31)
-    at = 0
-    while at < len(content):
-        part = content[at : at + step]
-        yield z.decompress(part)
-        at += len(part) - len(z.unused_data)
-        if z.eof:
-            z = zlib.decompressobj(31)
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files (READS), one task for each file."""
-    letters, ops = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                if content[:4] == b"CRAM":
-                    raise ValueError("CRAM files are not supported; convert to BAM or SAM")
-                data = b"".join(unpacked(memoryview(content)))
-                if data[:4] != b"BAM\1":
-                    raise ValueError("not a BAM file")
-                at = 8 + struct.unpack_from("<i", data, 4)[0]
-                names, n = [], struct.unpack_from("<i", data, at)[0]
-                at += 4
-                for _ in range(n):
-                    size = struct.unpack_from("<i", data, at)[0]
-                    names.append(data[at + 4 : at + 3 + size].decode())
-                    at += 8 + size
-                rows = []
-                while at < len(data):
-                    size, ref, pos, l_name, _, _, n_cigar, flag, l_seq = struct.unpack_from("<iiiBBHHHi", data, at)
-                    p = at + 36
-                    qname = data[p : p + l_name - 1].decode()
-                    p += l_name
-                    cigar = "".join(f"{x >> 4}{ops[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", data, p)) or "*"
-                    p += 4 * n_cigar
-                    packed = data[p : p + (l_seq + 1) // 2]
-                    seq = "".join(letters[b >> 4] + letters[b & 15] for b in packed)[:l_seq] or "*"
-                    rows.append((at, qname, flag, names[ref] if ref >= 0 else "*", pos, cigar, seq))
-                    at += 4 + size
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in READS.split(", ")])
-                        rows = []
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in READS.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, READS)
-
-
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """SAM or BAM by the name's ending; CRAM is refused."""
     if path.lower().endswith(".cram"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from readloom.functions.stats import strand_p_value
 from readloom.operators import sampler, snv, strand
 from readloom.operators.sampler import Params, gibbs
-from readloom.sources import files, readers, sinks
+from readloom.sources import bam, files, readers, sinks
 
 import numpy as np
 
@@ -130,4 +130,72 @@ def test_blocks_of_a_compressed_file():
 
     data = bytes(random.Random(1).randrange(256) for _ in range(300_000))
     packed = b"".join(gzip.compress(data[i : i + 50_000]) for i in range(0, len(data), 50_000))
-    assert b"".join(readers.unpacked(memoryview(packed))) == data
+    assert b"".join(bam.unpacked(memoryview(packed))) == data
+
+
+def bam_bytes(refs, reads, block, opening=bam.MARK):
+    """A BAM file of blocks of ``block`` inflated bytes, wherever records end."""
+    import struct
+    import zlib
+
+    text = b"@HD\tVN:1.6\n"
+    data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
+    for name, length in refs:
+        data += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+    for name, flag, ref, pos, cigar, seq in reads:
+        codes = [bam.LETTERS.index(x) for x in seq] + [0] * (len(seq) % 2)
+        body = name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | bam.OPERATIONS.index(op)) for n, op in cigar)
+        body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + b"\x28" * len(seq) + b"NMC\x01"
+        data += struct.pack("<iiiBBHHHiiii", 32 + len(body), ref, pos, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0) + body
+    out = b""
+    for at in [*range(0, len(data), block), None]:
+        z = zlib.compressobj(1, zlib.DEFLATED, -15)
+        piece = b"" if at is None else data[at : at + block]
+        packed = z.compress(piece) + z.flush()
+        out += opening + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(piece), len(piece))
+    return out
+
+
+def test_bam_in_splits(spark, tmp_path):
+    rng = random.Random(8)
+    reads = [(f"read{i}", rng.choice((0, 16)), rng.choice((-1, 0, 1)), rng.randrange(-1, 5000), [(3, "S"), (n, "M")], "".join(rng.choice("ACGTN") for _ in range(n + 3))) for i, n in enumerate(rng.choice((1, 40, 151, 3000)) for _ in range(600))]
+    want = [(name, flag, ("chr1", "chr2", "*")[ref], pos, "".join(f"{n}{op}" for n, op in cigar), seq) for name, flag, ref, pos, cigar, seq in reads]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    other = bam.MARK[:9] + b"\0" + bam.MARK[10:]
+    try:
+        for k, (block, split, opening) in enumerate(((700, 5_000, bam.MARK), (5_000, 30_001, bam.MARK), (60_000, 1 << 27, bam.MARK), (2_000, 50_000, other))):
+            (tmp_path / f"{k}.bam").write_bytes(bam_bytes([("chr1", 9000), ("chr2", 9000)], reads, block, opening))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            got = readers.read_alignments(spark, str(tmp_path / f"{k}.bam")).orderBy("file_ord").collect()
+            assert [tuple(r)[1:] for r in got] == [(*w,) for w in want], k
+            assert len({r.file_ord for r in got}) == len(got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_damaged_bam_is_an_error(spark, tmp_path):
+    import pytest
+
+    whole = bam_bytes([("c", 100)], [(f"r{i}", 0, 0, i, [(8, "M")], "ACGTACGT") for i in range(500)], 900)
+    for name, content in (("cut", whole[: len(whole) // 2]), ("text", b"no alignments"), ("cram", b"CRAM\3")):
+        (tmp_path / f"{name}.bam").write_bytes(content)
+        with pytest.raises(Exception, match="block|BAM|CRAM|header"):
+            readers.read_bam(spark, str(tmp_path / f"{name}.bam")).collect()
+
+
+def test_fasta_and_fastq_in_splits(spark, tmp_path):
+    rng = random.Random(9)
+    seqs = ["".join(rng.choice("acgtN") for _ in range(rng.choice((0, 1, 70, 500)))) for _ in range(300)]
+    for end in ("\n", "\r\n"):
+        (tmp_path / "a.fa").write_bytes("".join(f">s{i} note > {i}{end}" + "".join(s[j : j + 60] + end for j in range(0, len(s), 60)) for i, s in enumerate(seqs)).encode())
+        (tmp_path / "a.fq").write_bytes("".join(f"@q{i} t{i}{end}{s}{end}+{end}{'@' * len(s)}{end}" for i, s in enumerate(seqs)).encode())
+        size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            for split in (997, 20_000, 1 << 27):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+                got = readers.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("ord").collect()
+                assert [(r.id, r.seq) for r in got] == [(f"s{i}", s.upper()) for i, s in enumerate(seqs)], split
+                got = readers.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("ord").collect()
+                assert [(r.id, r.tag, r.seq, r.qual, r.ord) for r in got] == [(f"q{i}", f"t{i}", s, "@" * len(s), i) for i, s in enumerate(seqs)], split
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
