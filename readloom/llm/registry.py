@@ -16,4 +16,4 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op7_chat_formatting": chat.SQL, "op9_exact_topk": topk.SQL}
+ORACLES = {"op3_ngram_jaccard_join": ngram_join.SQL, "op7_chat_formatting": chat.SQL, "op9_exact_topk": topk.SQL}
