@@ -138,6 +138,10 @@ def window_snvs(spark, sf_dir):
     return _snvs(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("freq", "support")})
 
 
+def most_variants(spark, sf_dir):
+    return snv.most_snvs(_variants(spark, sf_dir))
+
+
 def segment_coverage(spark, sf_dir):
     return snv.segment_coverage(window_tiling(spark, sf_dir), SHIFT)
 
@@ -187,13 +191,13 @@ def strand_bias_pvalue(spark, sf_dir):
 
 
 def bh_qvalues(spark, sf_dir):
-    q = strand.with_q_values(strand_bias_pvalue(spark, sf_dir), "suppkey")
+    q = strand.with_q_values(strand_bias_pvalue(spark, sf_dir))
     return q.select("suppkey", "pval", F.round("qval", 6).alias("qval"))
 
 
 def snv_calls(spark, sf_dir):
     """Flagship: counts, strand test, correction and the calls that pass."""
-    q = strand.with_q_values(strand_bias_pvalue(spark, sf_dir), "suppkey")
+    q = strand.with_q_values(strand_bias_pvalue(spark, sf_dir))
     return strand.unbiased(q).withColumn("qval", F.round("qval", 6))
 
 
@@ -211,6 +215,12 @@ def modal_haplotype(spark, sf_dir):
     return haplotypes.modal_haplotype(_history(spark, sf_dir), STEPS).withColumn("posterior", F.round("posterior", 6))
 
 
+def read_haplotypes(spark, sf_dir):
+    """Events as the members of a user's collapsed read."""
+    members = _t(spark, sf_dir, "events").select(F.lit("events").alias("chrom"), F.hour("ts").alias("beg"), F.col("user_id").alias("read"), F.col("event_id").alias("qname"))
+    return haplotypes.spread_to_members(modal_haplotype(spark, sf_dir), members)
+
+
 def convergence(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), F.hour("ts").alias("beg"), F.col("event_id").alias("step"), (F.col("user_id") % 100).alias("untouched"), "user_id")
     st = e.groupBy("chrom", "beg").agg(F.count_distinct("user_id").alias("q"), F.count("*").alias("made"))
@@ -227,16 +237,33 @@ def proposed_rate(spark, sf_dir):
     return haplotypes.proposed_rate(w).withColumn("proposed_per_step", F.round("proposed_per_step", 6))
 
 
-def corrected_reads(spark, sf_dir):
+def _merged(spark, sf_dir, vote=False):
+    """Reads with the bases of the window consensus, where a window agrees with the read in more than 0.3."""
     rows = _window_reads(spark, sf_dir)
     j = rows.join(_window_consensus(rows), ["chrom", "beg"])
     known = WIDTH - dna.missing(F.col("seq"))
     post = F.when(known > 0, dna.haplotype_matches(F.col("hap"), F.col("seq")) / known).otherwise(0.0)
     corrected = j.select("chrom", "beg", "qname", "hap", post.alias("posterior"))
-    m = merge.clean_corrected(merge.merge_corrected(merge.last_alignment(reads(spark, sf_dir)), corrected, 0.3), most_x=100)
+    return merge.merge_corrected(merge.last_alignment(reads(spark, sf_dir)), corrected, 0.3, vote)
+
+
+def _clean(merged: DataFrame) -> DataFrame:
+    m = merge.clean_corrected(merged, most_x=100)
     return m.select("chrom", "qname", "pos0", F.length("seq").alias("size"), F.md5("seq").alias("seq_md5"), "inner_x")
 
 
+def corrected_reads(spark, sf_dir):
+    return _clean(_merged(spark, sf_dir))
+
+
+def voted_reads(spark, sf_dir):
+    return _clean(_merged(spark, sf_dir, vote=True))
+
+
+def inner_x_counts(spark, sf_dir):
+    return merge.x_histogram(_merged(spark, sf_dir))
+
+
 def dpm_haplotypes(spark, sf_dir):
     """The sampler over all covered windows."""
     found = sample_windows(windows.collapse(_covered(spark, sf_dir)))
@@ -258,7 +285,7 @@ QUERIES = {
         snv_calls, strand_bias_pvalue, bh_qvalues, window_tiling, coverage_cap, gapped_projection, dedupe_weight, pileup_counts, column_consensus,
         column_entropy, covered_region, moving_entropy, max_entropy_window, trimmed_mean_length, hamming_to_consensus, gap_runs, window_snvs,
         segment_coverage, slot_consensus, two_of_three, strand_counts, haplotype_support, modal_haplotype, convergence, iteration_budget,
-        proposed_rate, corrected_reads, dpm_haplotypes, shotgun_calls,
+        proposed_rate, corrected_reads, voted_reads, inner_x_counts, most_variants, read_haplotypes, dpm_haplotypes, shotgun_calls,
     )
 }
 
@@ -308,9 +335,9 @@ cells AS (SELECT h.chrom, h.beg, h."end", hap, av, post, i, beg + i - 1 AS p, su
 runs AS (SELECT chrom, beg, "end", hap, av, post, min(p) AS p, count(*) AS size, any_value(genome) AS genome FROM (
     SELECT *, i - row_number() OVER (PARTITION BY chrom, beg, hap ORDER BY i) AS island FROM cells WHERE s = '-' AND r <> '') GROUP BY chrom, beg, "end", hap, av, post, island),
 found AS (
-  SELECT chrom, beg, "end", av, post, p AS key_pos, s AS key_var, p AS pos, r AS ref, s AS var FROM cells WHERE s <> r AND s NOT IN ('N', '-') AND r <> ''
+  SELECT chrom, beg, "end", hap, av, post, p AS key_pos, s AS key_var, p AS pos, r AS ref, s AS var FROM cells WHERE s <> r AND s NOT IN ('N', '-') AND r <> ''
   UNION ALL
-  SELECT chrom, beg, "end", av, post, p, repeat('-', size), p - 1, substr(genome, (p - 1)::INTEGER, (size + 1)::INTEGER), substr(genome, (p - 1)::INTEGER, 1) FROM runs WHERE p > 1),
+  SELECT chrom, beg, "end", hap, av, post, p, repeat('-', size), p - 1, substr(genome, (p - 1)::INTEGER, (size + 1)::INTEGER), substr(genome, (p - 1)::INTEGER, 1) FROM runs WHERE p > 1),
 snv AS (SELECT f.chrom, f.beg, f."end", key_pos, key_var, pos, ref, var, sum(av) / any_value(total) AS freq, sum(av * post) / sum(av) AS support
   FROM found f JOIN total t ON t.chrom = f.chrom AND t.beg = f.beg GROUP BY f.chrom, f.beg, f."end", key_pos, key_var, pos, ref, var)"""
 _SLOTS = f"""{_SNV},
@@ -336,6 +363,24 @@ _Q = f"""{_P},
 raw AS (SELECT *, least(1, pval * count(*) OVER () / row_number() OVER (ORDER BY pval, suppkey)) AS raw FROM tested),
 q AS (SELECT *, max(raw) OVER (ORDER BY pval, suppkey ROWS UNBOUNDED PRECEDING) AS qval FROM raw)"""
 _HIST = """hist AS (SELECT 'events' AS chrom, hour(ts) AS beg, user_id AS read, day(ts) AS step, min(event_type) AS hap FROM events GROUP BY ALL)"""
+_FIRST = "SELECT rid, i, arg_min(base, beg) AS base FROM hits GROUP BY ALL"
+_VOTED = "SELECT rid, i, base FROM (SELECT rid, i, base, row_number() OVER (PARTITION BY rid, i ORDER BY count(*) DESC, base) AS r FROM hits GROUP BY rid, i, base) WHERE r = 1"
+_CLEAN = """SELECT chrom, rid::VARCHAR AS qname, (pos0 + length(seq) - length(l))::INTEGER AS pos0, length(replace(l, 'X', ''))::INTEGER AS size, md5(replace(l, 'X', '')) AS seq_md5, inner_x
+  FROM cut WHERE body <> '' AND inner_x <= 100"""
+
+
+def _merged_sql(pick: str) -> str:
+    return f"""{_WR}, {_HAP},
+post AS (SELECT chrom, beg, rid, sum((h = s AND s <> 'N')::INTEGER) / sum((s <> 'N')::INTEGER) AS post FROM pairs GROUP BY ALL),
+good AS (SELECT chrom, beg, rid FROM post WHERE post > 0.3),
+hits AS (SELECT r.rid, g.beg + c.i - 2 - r.pos0 AS i, g.beg, c.base FROM good g JOIN reads r ON r.rid = g.rid
+  JOIN (SELECT w.chrom, w.beg, i, coalesce(c.base, 'N') AS base FROM (SELECT DISTINCT chrom, beg, unnest(range(1, {WIDTH} + 1)) AS i FROM wr) w LEFT JOIN wcons c USING (chrom, beg, i)) c ON c.chrom = g.chrom AND c.beg = g.beg
+  WHERE g.beg + c.i - 2 - r.pos0 >= 0 AND g.beg + c.i - 2 - r.pos0 < length(r.seq)),
+bases AS ({pick}),
+whole AS (SELECT r.rid, r.chrom, r.pos0, string_agg(coalesce(b.base, 'X'), '' ORDER BY r.i) AS seq FROM (SELECT rid, chrom, pos0, unnest(range(0, length(seq))) AS i FROM reads) r
+  LEFT JOIN bases b ON b.rid = r.rid AND b.i = r.i GROUP BY ALL),
+cut AS (SELECT *, (length(body) - length(replace(body, 'X', '')))::INTEGER AS inner_x FROM (SELECT *, ltrim(seq, '-X') AS l, rtrim(ltrim(seq, '-X'), '-X') AS body FROM whole))"""
+
 
 ORACLES = {
     "strand_bias_pvalue": f"WITH {_P} SELECT suppkey, fvar, rvar, ftot, rtot, pval FROM tested",
@@ -396,15 +441,11 @@ ORACLES = {
       SELECT s.chrom, s.beg, q, made, round(m / q * 100, 6) AS untouched_pct, m / q * 100 < 90 AS low_untouched, made < q AS few_new_clusters FROM s JOIN t ON t.chrom = s.chrom AND t.beg = s.beg""",
     "iteration_budget": f"WITH {_WR} SELECT *, least(300000, cov * 15) AS iterations, floor(least(300000, cov * 15) * 0.2)::BIGINT AS history FROM cov",
     "proposed_rate": f"WITH {_WR} SELECT chrom, beg, round(cov * 3 / least(300000, cov * 15), 6) AS proposed_per_step FROM cov WHERE cov <> 30",
-    "corrected_reads": f"""WITH {_WR}, {_HAP},
-      post AS (SELECT chrom, beg, rid, sum((h = s AND s <> 'N')::INTEGER) / sum((s <> 'N')::INTEGER) AS post FROM pairs GROUP BY ALL),
-      good AS (SELECT chrom, beg, rid FROM post WHERE post > 0.3),
-      bases AS (SELECT r.rid, g.beg + c.i - 2 - r.pos0 AS i, arg_min(c.base, g.beg) AS base FROM good g JOIN reads r ON r.rid = g.rid
-        JOIN (SELECT w.chrom, w.beg, i, coalesce(c.base, 'N') AS base FROM (SELECT DISTINCT chrom, beg, unnest(range(1, {WIDTH} + 1)) AS i FROM wr) w LEFT JOIN wcons c USING (chrom, beg, i)) c ON c.chrom = g.chrom AND c.beg = g.beg
-        WHERE g.beg + c.i - 2 - r.pos0 >= 0 AND g.beg + c.i - 2 - r.pos0 < length(r.seq) GROUP BY ALL),
-      whole AS (SELECT r.rid, r.chrom, r.pos0, string_agg(coalesce(b.base, 'X'), '' ORDER BY r.i) AS seq FROM (SELECT rid, chrom, pos0, unnest(range(0, length(seq))) AS i FROM reads) r
-        LEFT JOIN bases b ON b.rid = r.rid AND b.i = r.i GROUP BY ALL),
-      cut AS (SELECT *, ltrim(seq, '-X') AS l, rtrim(ltrim(seq, '-X'), '-X') AS body FROM whole)
-      SELECT chrom, rid::VARCHAR AS qname, (pos0 + length(seq) - length(l))::INTEGER AS pos0, length(replace(l, 'X', ''))::INTEGER AS size, md5(replace(l, 'X', '')) AS seq_md5,
-        (length(body) - length(replace(body, 'X', '')))::INTEGER AS inner_x FROM cut WHERE body <> '' AND length(body) - length(replace(body, 'X', '')) <= 100""",
+    "corrected_reads": f"WITH {_merged_sql(_FIRST)} {_CLEAN}",
+    "voted_reads": f"WITH {_merged_sql(_VOTED)} {_CLEAN}",
+    "inner_x_counts": f"WITH {_merged_sql(_FIRST)} SELECT inner_x, count(*) AS n FROM cut WHERE body <> '' GROUP BY inner_x",
+    "most_variants": f"WITH {_SNV}, n AS (SELECT chrom, beg, hap, count(*) AS n FROM found GROUP BY ALL) SELECT chrom, beg, max(n) AS most FROM n GROUP BY ALL",
+    "read_haplotypes": f"""WITH {_HIST}, n AS (SELECT chrom, beg, read, hap, count(*) AS n FROM hist GROUP BY ALL),
+      modal AS (SELECT chrom, beg, read, hap, round(n / {STEPS}.0, 6) AS posterior FROM (SELECT *, row_number() OVER (PARTITION BY chrom, beg, read ORDER BY n DESC, hap) AS r FROM n) WHERE r = 1)
+      SELECT m.chrom, m.beg, m.read, e.event_id AS qname, m.hap, m.posterior FROM events e JOIN modal m ON m.beg = hour(e.ts) AND m.read = e.user_id""",
 }
