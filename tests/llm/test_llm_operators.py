@@ -328,6 +328,17 @@ def test_chat_examples_and_round_trip(spark):
     assert chat.expand(df.limit(0)).count() == 0
 
 
+def test_chat_of_repeated_rows_long_texts_and_clashing_names(spark):
+    long = "a[b]\\\\</s> " * 20000
+    rows = [(1, 0, "user", long, "x", 1), (1, 1, "assistant", long, "x", 2), (1, 1, "assistant", long, "x", 2), (2, None, "assistant", "", None, None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example string, last int")
+    back = {r.conv_id: r for r in chat.read_back(chat.expand(df)).collect()}
+    want = "".join(f"{r}\n{t}\n" for _, _, r, t, *_ in rows[:3])
+    assert back[1].n_turns == 3 and back[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert back[1].loss_sha256 == hashlib.sha256((long + long).encode()).hexdigest() and back[1].loss_chars == 2 * len(long)
+    assert back[2].n_turns == 1 and back[2].loss_chars == 0 and back[None].n_turns == 1
+
+
 # --- web pages ----------------------------------------------------------------------------------
 
 
@@ -393,6 +404,14 @@ def test_search_with_ties_repeats_and_odd_vectors(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_search_with_clashing_names(spark):
+    rows = [(i, [float(i % 7), 1.0], "s", i, "q") for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, rank int, query_id string")
+    plain, clash = topk.as_integers(df.select("vec_id", "embedding")), topk.as_integers(df)
+    found = [sorted(map(tuple, topk.top_k(x, x.where("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score").collect())) for x in (plain, clash)]
+    assert found[0] == found[1] and len(found[0]) == 10
+
+
 # --- packing ------------------------------------------------------------------------------------
 
 
@@ -427,6 +446,24 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_of_repeated_rows_long_texts_and_clashing_names(spark):
+    rows = [(1, "word " * 20000), (2, "same here"), (2, "same here"), (2, "other text there"), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "a", 5, "b") for i, t in rows], "doc_id long, text string, sequence_id string, start int, ids string")
+    pieces = packing.pack(df).collect()
+    seq = collections.defaultdict(list)
+    for p in pieces:
+        seq[p.sequence_id].append((p.offset, p.length))
+    for own in seq.values():
+        ends = [0, *(o + n for o, n in sorted(own))]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 1024 and ends[-1] & (ends[-1] - 1) == 0
+    whole = {t: p.doc_tokens for t in ("same here", "other text there") for p in packing.pack(df.where(F.col("text") == t)).collect()}
+    total = collections.Counter()
+    for p in pieces:
+        total[p.doc_id] += p.length
+    assert total[2] == 2 * whole["same here"] + whole["other text there"] and total[None] == 2
+    assert total[1] == next(p.doc_tokens for p in pieces if p.doc_id == 1)
+
+
 def test_items_go_to_the_level_with_the_least_sum_of_squares():
     rng = random.Random(8)
     p = packing.Packer(16)
