@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, fingerprint, mixing, ngram_join, packing, pii, quality, secret_scan, topk, vector_codes, wrappers
+from . import ann, chat, fingerprint, mixing, ngram_join, packing, pii, quality, secret_scan, topk, turns, vector_codes, wrappers
 
 QUERIES = {
     "op1_pii_sanitisation": pii.op1_pii_sanitisation,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_packing": packing.op10_packing,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_conversation_repair": turns.op12_conversation_repair,
     "op13_nearest_neighbours": ann.op13_nearest_neighbours,
 }
-ORACLES = {"op3_ngram_jaccard_join": ngram_join.SQL, "op7_chat_formatting": chat.SQL, "op9_exact_topk": topk.SQL, "op11_vector_codes": vector_codes.SQL}
+ORACLES = {"op3_ngram_jaccard_join": ngram_join.SQL, "op7_chat_formatting": chat.SQL, "op9_exact_topk": topk.SQL, "op11_vector_codes": vector_codes.SQL, "op12_conversation_repair": turns.SQL}
