@@ -15,6 +15,7 @@ from .operators.sampler import sample_windows
 from .plans import analysis
 
 WIDTH, SHIFT, OVERLAP, MOST, COVER, STEPS, ENTROPY_WIDTH = 201, 67, 170, 50, 20, 30, 73
+SIGMAS = {"tiny": 0.0005, "small": 0.001, "usual": 0.01, "large": 0.1}
 LETTERS, CODES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGT-N"
 
 
@@ -190,6 +191,19 @@ def strand_bias_pvalue(spark, sf_dir):
     return _supplier_counts(spark, sf_dir).withColumn("pval", F.round(p, 6))
 
 
+def strand_bias_sigmas(spark, sf_dir):
+    """The strand test of deep columns (line numbers) at small and large sigma."""
+    li = _t(spark, sf_dir, "lineitem")
+    var, fwd = F.col("l_discount") > 0.045, F.col("l_linestatus") == "F"
+    g = li.groupBy(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    g = g.agg(F.count_if(var & fwd).alias("fvar"), F.count_if(var & ~fwd).alias("rvar"), F.count_if(fwd).alias("ftot"), F.count_if(~fwd).alias("rtot"))
+    # every second column as if its variants lay on the forward strand alone
+    g = g.withColumn("fvar", F.when(F.col("line") % 2 == 0, F.col("fvar") + F.col("rvar")).otherwise(F.col("fvar"))).withColumn("rvar", F.when(F.col("line") % 2 == 0, 0).otherwise(F.col("rvar")))
+    g = g.groupBy("line").agg(*(F.sum(c).alias(c) for c in ("fvar", "rvar", "ftot", "rtot")))
+    p = [F.round(stats.strand_p_value(F.col("fvar"), F.col("rvar"), F.col("ftot"), F.col("rtot"), s), 6).alias(f"p_{n}") for n, s in SIGMAS.items()]
+    return g.select("line", "fvar", "rvar", "ftot", "rtot", *p)
+
+
 def bh_qvalues(spark, sf_dir):
     q = strand.with_q_values(strand_bias_pvalue(spark, sf_dir))
     return q.select("suppkey", "pval", F.round("qval", 6).alias("qval"))
@@ -282,7 +296,7 @@ def shotgun_calls(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        snv_calls, strand_bias_pvalue, bh_qvalues, window_tiling, coverage_cap, gapped_projection, dedupe_weight, pileup_counts, column_consensus,
+        snv_calls, strand_bias_pvalue, strand_bias_sigmas, bh_qvalues, window_tiling, coverage_cap, gapped_projection, dedupe_weight, pileup_counts, column_consensus,
         column_entropy, covered_region, moving_entropy, max_entropy_window, trimmed_mean_length, hamming_to_consensus, gap_runs, window_snvs,
         segment_coverage, slot_consensus, two_of_three, strand_counts, haplotype_support, modal_haplotype, convergence, iteration_budget,
         proposed_rate, corrected_reads, voted_reads, inner_x_counts, most_variants, read_haplotypes, dpm_haplotypes, shotgun_calls,
@@ -359,6 +373,18 @@ ab AS (SELECT *, mean / 0.01 AS a, (1 - mean) / 0.01 AS b FROM m),
 ks AS (SELECT *, unnest(CASE WHEN fvar < mean * m THEN range(0, fvar + 1) ELSE range(fvar, m + 1) END) AS k FROM ab WHERE m > 0 AND a >= 1e-6 AND b >= 1e-6),
 tail AS (SELECT suppkey, least(1, 2 * sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + lgamma(k + a) + lgamma(m - k + b) - lgamma(m + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)))) AS p FROM ks GROUP BY 1),
 tested AS (SELECT g.*, round(coalesce(p, 1), 6) AS pval FROM g LEFT JOIN tail USING (suppkey))"""
+_DEEP = """l AS (SELECT l_linenumber AS line, l_discount > 0.045 AS var, l_linestatus = 'F' AS fwd FROM lineitem),
+g AS (SELECT line, count(*) FILTER (var AND (fwd OR line % 2 = 0)) AS fvar, count(*) FILTER (var AND NOT fwd AND line % 2 = 1) AS rvar,
+    count(*) FILTER (fwd) AS ftot, count(*) FILTER (NOT fwd) AS rtot FROM l GROUP BY 1),
+m AS (SELECT *, fvar + rvar AS m, ftot / (ftot + rtot) AS mean FROM g)"""
+
+
+def _tail_sql(name: str, sigma: float) -> str:
+    """The test of table m by a plain sum of all terms."""
+    return f"""{name} AS (SELECT line, least(1, 2 * sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + lgamma(k + a) + lgamma(m - k + b) - lgamma(m + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)))) AS p
+    FROM (SELECT *, mean / {sigma} AS a, (1 - mean) / {sigma} AS b, unnest(CASE WHEN fvar < mean * m THEN range(0, fvar + 1) ELSE range(fvar, m + 1) END) AS k FROM m WHERE m > 0 AND mean > 0 AND mean < 1) GROUP BY 1)"""
+
+
 _Q = f"""{_P},
 raw AS (SELECT *, least(1, pval * count(*) OVER () / row_number() OVER (ORDER BY pval, suppkey)) AS raw FROM tested),
 q AS (SELECT *, max(raw) OVER (ORDER BY pval, suppkey ROWS UNBOUNDED PRECEDING) AS qval FROM raw)"""
@@ -384,6 +410,7 @@ cut AS (SELECT *, (length(body) - length(replace(body, 'X', '')))::INTEGER AS in
 
 ORACLES = {
     "strand_bias_pvalue": f"WITH {_P} SELECT suppkey, fvar, rvar, ftot, rtot, pval FROM tested",
+    "strand_bias_sigmas": f"WITH {_DEEP}, {', '.join(_tail_sql(n, x) for n, x in SIGMAS.items())} SELECT line, fvar, rvar, ftot, rtot, {', '.join(f'round(coalesce({n}.p, 1), 6) AS p_{n}' for n in SIGMAS)} FROM g {' '.join(f'LEFT JOIN {n} USING (line)' for n in SIGMAS)}",
     "bh_qvalues": f"WITH {_Q} SELECT suppkey, pval, round(qval, 6) AS qval FROM q",
     "snv_calls": f"WITH {_Q} SELECT suppkey, fvar, rvar, ftot, rtot, pval, round(qval, 6) AS qval FROM q WHERE qval >= 0.05",
     "window_tiling": f"WITH {_WR} SELECT * FROM cov",
