@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dna, stats
-from .operators import haplotypes, merge, pileup, snv, strand, windows
+from .operators import haplotypes, merge, nearest, pileup, snv, strand, windows
 from .operators.sampler import sample_windows
 from .plans import analysis
 
-WIDTH, SHIFT, OVERLAP, MOST, COVER, STEPS, ENTROPY_WIDTH = 201, 67, 170, 50, 20, 30, 73
+WIDTH, SHIFT, OVERLAP, MOST, COVER, STEPS, ENTROPY_WIDTH, NEAR = 201, 67, 170, 50, 20, 30, 73, 10
 SIGMAS = {"tiny": 0.0005, "small": 0.001, "usual": 0.01, "large": 0.1}
 LETTERS, CODES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGT-N"
 
@@ -113,8 +113,20 @@ def _window_consensus(rows: DataFrame) -> DataFrame:
 def hamming_to_consensus(spark, sf_dir):
     rows = _window_reads(spark, sf_dir)
     j = rows.join(_window_consensus(rows), ["chrom", "beg"])
-    h, s = F.col("hap"), F.col("seq")
-    return j.select("chrom", "beg", F.col("file_ord").alias("rid"), dna.hamming_reads(h, s).alias("differ"), dna.haplotype_distance(h, s).alias("distance"), dna.haplotype_matches(h, s).alias("matches"), dna.known_distance(h, s).alias("known_distance"))
+    known = F.length("seq") - dna.missing(F.col("seq"))
+    # each string is packed once
+    j = j.select("chrom", "beg", F.col("file_ord").alias("rid"), dna.packed(F.col("hap")).alias("h"), dna.packed(F.col("seq")).alias("s"), known.alias("known"))
+    h, s = F.col("h"), F.col("s")
+    j = j.select("chrom", "beg", "rid", dna.packed_differences(h, s).alias("differ"), dna.packed_distance(h, s).alias("distance"), "known", dna.packed_known_distance(h, s).alias("known_distance"))
+    return j.select("chrom", "beg", "rid", "differ", "distance", (F.col("known") - F.col("distance")).alias("matches"), "known_distance")
+
+
+def nearest_haplotype(spark, sf_dir):
+    """The first window of each read, and the nearest of the sequences that occur more than once there, within 10 differences."""
+    first = reads(spark, sf_dir).select("chrom", F.lit(1).alias("beg"), dna.window_slice(F.col("gapped"), F.lit(0), F.lit(0), WIDTH).alias("seq"))
+    often = first.groupBy("chrom", "beg", F.col("seq").alias("hap")).count().where("count > 1")
+    found = nearest.nearest_haplotypes(first, often, NEAR)
+    return found.select("chrom", "beg", F.md5("seq").alias("seq_md5"), "weight", F.md5("hap").alias("hap_md5"), "distance")
 
 
 def gap_runs(spark, sf_dir):
@@ -297,7 +309,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snv_calls, strand_bias_pvalue, strand_bias_sigmas, bh_qvalues, window_tiling, coverage_cap, gapped_projection, dedupe_weight, pileup_counts, column_consensus,
-        column_entropy, covered_region, moving_entropy, max_entropy_window, trimmed_mean_length, hamming_to_consensus, gap_runs, window_snvs,
+        column_entropy, covered_region, moving_entropy, max_entropy_window, trimmed_mean_length, hamming_to_consensus, nearest_haplotype, gap_runs, window_snvs,
         segment_coverage, slot_consensus, two_of_three, strand_counts, haplotype_support, modal_haplotype, convergence, iteration_budget,
         proposed_rate, corrected_reads, voted_reads, inner_x_counts, most_variants, read_haplotypes, dpm_haplotypes, shotgun_calls,
     )
@@ -432,6 +444,12 @@ ORACLES = {
       SELECT round_even(sum(v) / (0.8 * any_value(n)), 0)::BIGINT AS trimmed_mean FROM l WHERE i >= floor(0.1 * n) AND i < floor(0.9 * n)""",
     "hamming_to_consensus": f"""WITH {_WR}, {_HAP} SELECT chrom, beg, rid, sum((h <> s)::INTEGER)::INTEGER AS differ, sum((h <> s AND s <> 'N')::INTEGER)::INTEGER AS distance,
       sum((h = s AND s <> 'N')::INTEGER)::INTEGER AS matches, sum((h <> s AND s <> 'N' AND h <> 'N')::INTEGER)::INTEGER AS known_distance FROM pairs GROUP BY ALL""",
+    "nearest_haplotype": f"""WITH {_READS}, w AS (SELECT chrom, rpad(substr(seq, 1, {WIDTH}), {WIDTH}, 'N') AS seq FROM reads),
+      r AS (SELECT chrom, seq, count(*) AS weight FROM w GROUP BY ALL),
+      d AS (SELECT r.*, h.seq AS hap, hamming(h.seq, r.seq) - hamming(replace(r.seq, 'N', 'A'), r.seq) + len(list_filter(range(1, {WIDTH + 1}), lambda i: r.seq[i] = 'N' AND h.seq[i] = 'N')) AS distance
+        FROM r JOIN r h ON h.chrom = r.chrom AND h.weight > 1),
+      b AS (SELECT *, row_number() OVER (PARTITION BY chrom, seq ORDER BY distance, hap) AS nth FROM d WHERE distance <= {NEAR})
+      SELECT chrom, 1 AS beg, md5(seq) AS seq_md5, weight, md5(hap) AS hap_md5, distance::INTEGER AS distance FROM b WHERE nth = 1""",
     "gap_runs": f"""WITH {_READS}, c AS (SELECT rid, i, substr(seq, i::INTEGER + 1, 1) AS base FROM (SELECT rid, seq, unnest(range(0, length(seq))) AS i FROM reads)),
       f AS (SELECT rid, i, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS island FROM c WHERE base = '-')
       SELECT rid, min(i)::INTEGER AS start, count(*) AS size FROM f GROUP BY rid, island""",
