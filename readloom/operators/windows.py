@@ -58,10 +58,18 @@ def tile(reads: DataFrame, bounds: DataFrame, width: int, shift: int) -> DataFra
     return r.withColumn("win_b", F.explode(F.transform(F.sequence("kmin", "kmax"), lambda k: b + k * shift))).drop("kmin", "kmax", "roi_b", "roi_e")
 
 
+#: Up to so many rows of a start Spark itself cuts before its shuffle; beyond, parts are cut first.
+PRE_CUT, PARTS = 1000, 32
+
+
 def cap_starts(tiled: DataFrame, most: int) -> DataFrame:
     """At most ``most`` - 1 reads of each start in a window, in file order."""
-    order = Window.partitionBy("chrom", "win_b", "pos0").orderBy("file_ord")
-    return tiled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") < most).drop("nth")
+    key = ("chrom", "win_b", "pos0")
+    if most > PRE_CUT:  # one start may hold all reads of an amplicon
+        tiled = tiled.withColumn("part", F.pmod(F.hash("file_ord"), F.lit(PARTS)))
+        inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy("file_ord"))
+        tiled = tiled.withColumn("nth", inside).where(F.col("nth") < most).drop("part")
+    return tiled.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("file_ord"))).where(F.col("nth") < most).drop("nth")
 
 
 def overlap(width: int):
