@@ -28,11 +28,15 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("-I", "--ignore_indels", action="store_true")
     common.add_argument("-p", "--threshold", type=float, default=0.9)
     common.add_argument("-of", "--out_format", nargs="+", choices=("csv", "vcf"), default=["csv", "vcf"])
-    s = sub.add_parser("shotgun", parents=[common])
+    common.add_argument("-t", "--threads", type=int, default=0, help="tasks at a time in a local session; a cluster decides itself")
+    sampled = argparse.ArgumentParser(add_help=False)
+    sampled.add_argument("--epochs", default="", help="folder of the sampler's states: a run that was stopped goes on from there")
+    sampled.add_argument("--control", default="", help="Parquet table of orders (alpha, sweeps), read before each epoch")
+    s = sub.add_parser("shotgun", parents=[common, sampled])
     s.add_argument("-c", "--win_coverage", type=int, default=0)
     s.add_argument("-w", "--windowsize", type=int, default=201)
     s.add_argument("-s", "--winshifts", type=int, default=3)
-    m = sub.add_parser("amplicon", parents=[common])
+    m = sub.add_parser("amplicon", parents=[common, sampled])
     m.add_argument("-c", "--win_coverage", type=int, default=0)
     m.add_argument("-d", "--diversity", action="store_true")
     m.add_argument("-m", "--min_overlap", type=float, default=0.95)
@@ -45,10 +49,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
-    spark = SparkSession.builder.getOrCreate()
+    builder = SparkSession.builder
+    spark = (builder.master(f"local[{a.threads}]") if a.threads else builder).getOrCreate()
     o = analysis.Options(
         alpha=a.alpha, region=a.region, seed=a.seed, max_coverage=a.maxcov, sigma=a.sigma, ignore_indels=a.ignore_indels, threshold=a.threshold,
         win_coverage=getattr(a, "win_coverage", 0), width=getattr(a, "windowsize", 201), shifts=getattr(a, "winshifts", 3), min_overlap=getattr(a, "min_overlap", 0.95), diversity=getattr(a, "diversity", False),
+        epochs=getattr(a, "epochs", ""), control=getattr(a, "control", ""),
     )
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     logging.info("%s of %s", a.command, a.bam)
@@ -68,6 +74,9 @@ def main(args: list[str] | None = None) -> None:
         files.write_coverage(result.windows, f"{a.out}/coverage.txt")
         files.write_support(result.haplotypes, f"{a.out}/support")
         files.write_window_corrected(result.corrected, result.windows, f"{a.out}/corrected_windows")
+        files.write_trace(result.trace, f"{a.out}/trace")
+        files.write_clusters(result.classes, f"{a.out}/clusters")
+        files.write_frequencies(result.frequencies, f"{a.out}/frequencies")
         files.write_proposed(haplotypes.proposed_rate(result.stats), f"{a.out}/proposed")
         if result.convergence is not None:
             for r in result.convergence.where("low_untouched or few_new_clusters").collect():  # one window

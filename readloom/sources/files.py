@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .sinks import call_columns
+from .sinks import separated, write_calls, write_lines
 
 WINDOW = r"w-(.+)-(\d+)-(\d+)(?:[./]|$)"
 
@@ -37,8 +37,8 @@ def _write_windows(df: DataFrame, path: str) -> None:
 
 def write_coverage(windows: DataFrame, path: str) -> None:
     """Windows and their reads, without header (K3)."""
-    w = windows.orderBy("chrom", "beg").select(F.concat(F.lit("w-"), "chrom", F.lit("-"), "beg", F.lit("-"), "end", F.lit(".reads.fas")), "chrom", "beg", "end", "cov")
-    w.coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+    name = F.concat(F.lit("w-"), "chrom", F.lit("-"), "beg", F.lit("-"), "end", F.lit(".reads.fas"))
+    write_lines(windows.select("chrom", "beg", separated([name, "chrom", "beg", "end", "cov"], "\t").alias("value")), ["chrom", "beg"], path)
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +76,17 @@ def read_window_corrected(spark: SparkSession, path: str) -> DataFrame:
 def write_snvs(snvs: DataFrame, path: str, single: bool = False) -> None:
     """Variants as a tab-separated table with header (K8); counts and p, where there, follow without one (K9)."""
     tested = "fvar" in snvs.columns
-    call_columns(snvs.drop("qval"), single).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", not tested).csv(path)
+    write_calls(snvs.drop("qval"), path, "\t", single, not tested, "\n")
 
 
 def read_snvs(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, key_pos, key_var, pos, ref, var, frq1..3, pst1..3, state1..3) of a variant table."""
-    t = spark.read.option("sep", "\t").option("header", True).csv(path)
+    # the header stands in one of the parts
+    t = spark.read.option("sep", "\t").csv(path)
+    names = t.where("_c0 = 'Chromosome'").first()
+    if names is None:
+        raise ValueError(f"no header in {path}")
+    t = t.where("_c0 <> 'Chromosome'").toDF(*names)
     if "Freq" in t.columns:
         t = t.withColumnsRenamed({"Freq": "Frq3", "Post": "Pst3"}).withColumns({f"{c}{k}": F.lit("*") for c in ("Frq", "Pst") for k in (1, 2)})
     gap = F.length("Ref") > 1
@@ -96,9 +101,29 @@ def read_snvs(spark: SparkSession, path: str) -> DataFrame:
 
 def write_proposed(rates: DataFrame, path: str) -> None:
     """Clusters proposed in a sweep, by window (K7)."""
-    rates.orderBy("chrom", "beg").select(F.col("beg").alias("#base"), F.format_string("%f", "proposed_per_step").alias("proposed_per_step")).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    lines = rates.select("chrom", "beg", separated(["beg", F.format_string("%f", "proposed_per_step")], "\t").alias("value"))
+    write_lines(lines, ["chrom", "beg"], path, ["#base\tproposed_per_step"])
 
 
 def write_entropy(rows: DataFrame, path: str) -> None:
     """Entropy by column with NA where no mean is."""
-    rows.orderBy("chrom", "pos").select("pos", "entropy", F.coalesce(F.col("mean_entropy").cast("string"), F.lit("NA")).alias("mean_entropy"), "high_entropy_window").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    columns = ["pos", "entropy", F.coalesce(F.col("mean_entropy").cast("string"), F.lit("NA")), "high_entropy_window"]
+    write_lines(rows.select("chrom", "pos", separated(columns, ",").alias("value")), ["chrom", "pos"], path, ["pos,entropy,mean_entropy,high_entropy_window"])
+
+
+def write_trace(trace: DataFrame, path: str) -> None:
+    """One line for each sweep of each window: classes, untouched reads, theta and gamma (K5)."""
+    columns = ["chrom", "beg", "step", "classes", F.col("untouched").cast("long"), "theta", "gamma"]
+    write_lines(trace.select("chrom", "beg", "step", separated(columns, "\t").alias("value")), ["chrom", "beg", "step"], path, ["#chrom\tbase\tsweep\tclasses\tuntouched\ttheta\tgamma"])
+
+
+def write_clusters(classes: DataFrame, path: str) -> None:
+    """The classes at the end of each window: number, reads, unique reads, haplotype (K5)."""
+    columns = ["chrom", "beg", "classes", F.col("ave_reads").cast("long"), "q", "hap"]
+    write_lines(classes.select("chrom", "beg", "classes", separated(columns, "\t").alias("value")), ["chrom", "beg", "classes"], path, ["#chrom\tbase\tclass\treads\tunique\thaplotype"])
+
+
+def write_frequencies(freq: DataFrame, path: str) -> None:
+    """Reads of each haplotype at each recorded sweep (K4)."""
+    columns = ["chrom", "beg", "hap", F.array_join(F.transform("reads", lambda n: n.cast("string")), ",")]
+    write_lines(freq.select("chrom", "beg", "hap", separated(columns, "\t").alias("value")), ["chrom", "beg", "hap"], path, ["#chrom\tbase\thaplotype\treads"])

@@ -65,9 +65,9 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def aligned_reads(alignments: DataFrame, dropped_flags: int = DROPPED_FLAGS, mask_indels: bool = False) -> DataFrame:
-    """Reads on reference columns: (chrom, qname, pos0, gapped, is_rev, file_ord)."""
+    """Reads on reference columns: (chrom, qname, pos0, gapped, is_rev, file_ord, size) (P3, Q5); size: bases of the read, clipped and inserted ones too."""
     a = alignments.where((F.col("flag").bitwiseAND(dropped_flags) == 0) & (F.col("cigar") != "*"))
-    return a.select("chrom", "qname", "pos0", gapped(cleaned(F.col("seq")), F.col("cigar"), mask_indels).alias("gapped"), (F.col("flag").bitwiseAND(16) != 0).alias("is_rev"), "file_ord")
+    return a.select("chrom", "qname", "pos0", gapped(cleaned(F.col("seq")), F.col("cigar"), mask_indels).alias("gapped"), (F.col("flag").bitwiseAND(16) != 0).alias("is_rev"), "file_ord", F.when(F.col("seq") == "*", F.lit(1)).otherwise(F.length("seq")).alias("size"))
 
 
 def in_region(reads: DataFrame, chrom: str, begin: int, end: int) -> DataFrame:

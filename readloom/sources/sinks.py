@@ -1,4 +1,8 @@
-"""Text output of calls and reads. Results of a sample are few rows, so they go to one file each."""
+"""Text output of calls and reads: folders of part files, whose texts joined in the order of their names are the file.
+
+Lines are sorted over all tasks and written in parallel; the header is a row of its own that sorts
+first, so it stands in the first part alone. Spark's commit protocol makes the parts appear at once.
+"""
 
 from __future__ import annotations
 
@@ -19,20 +23,44 @@ def number(value: str, state: str) -> Column:
     return F.when(F.col(state) == "called", F.format_string("%.4f", value)).when(F.col(state) == "absent", "-").otherwise("*")
 
 
-def call_columns(calls: DataFrame, single: bool = False) -> DataFrame:
-    """Calls as text columns under the names of the CSV output."""
+def write_lines(lines: DataFrame, by: list[str], path: str, header: list[str] = (), line_end: str = "\n") -> None:
+    """The column ``value`` in the order of ``by``, behind the header's lines."""
+    kinds = dict(lines.dtypes)
+    head = lines.sparkSession.createDataFrame(list(enumerate(header)), "__nth int, value string").select("__nth", *(F.lit(None).cast(kinds[c]).alias(c) for c in by), "value")
+    # the header's rows have a number, the others none
+    every = head.unionByName(lines.select(F.lit(None).cast("int").alias("__nth"), *by, "value"))
+    every.orderBy(F.col("__nth").asc_nulls_last(), *by).select("value").write.mode("overwrite").option("lineSep", line_end).text(path)
+
+
+def separated(columns: list[Column | str], sep: str) -> Column:
+    return F.concat_ws(sep, *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns))
+
+
+#: The order of calls in files.
+CALL_ORDER = ["chrom", "key_pos", "key_var"]
+
+
+def call_columns(calls: DataFrame, single: bool = False) -> tuple[DataFrame, list[str]]:
+    """Calls with text columns under the names of the CSV output, and these names."""
     head = [F.col("chrom").alias("Chromosome"), F.col("pos").alias("Pos"), F.col("ref").alias("Ref"), F.col("var").alias("Var")]
     if single:
         slots = [F.format_string("%.4f", "frq3").alias("Freq"), F.format_string("%.4f", "pst3").alias("Post")]
     else:
         slots = [number(f"frq{k}", f"state{k}").alias(f"Frq{k}") for k in (1, 2, 3)] + [number(f"pst{k}", f"state{k}").alias(f"Pst{k}") for k in (1, 2, 3)]
     tests = [F.col(c.lower()).alias(c) for c in CALLS if c.lower() in calls.columns]
-    return calls.orderBy("chrom", "key_pos", "key_var").select(*head, *slots, *tests)
+    out = calls.select(*(F.col(c).alias(f"__{c}") for c in CALL_ORDER), *head, *slots, *tests)
+    return out, out.columns[len(CALL_ORDER) :]
+
+
+def write_calls(calls: DataFrame, path: str, sep: str, single: bool, header: bool, line_end: str) -> None:
+    rows, names = call_columns(calls, single)
+    by = [f"__{c}" for c in CALL_ORDER]
+    write_lines(rows.select(*by, separated(names, sep).alias("value")), by, path, [sep.join(names)] if header else [], line_end)
 
 
 def write_csv(calls: DataFrame, path: str, single: bool = False) -> None:
     """Header and CRLF line ends."""
-    call_columns(calls, single).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(path)
+    write_calls(calls, path, ",", single, True, "\r\n")
 
 
 #: What the fields of a VCF line hold.
@@ -48,9 +76,8 @@ FIELDS = {
 }
 
 
-def vcf_lines(calls: DataFrame, lengths: dict[str, int], source: str = "readloom", day: date | None = None, single: bool = False, reference: str = "") -> DataFrame:
-    """(ord, value): lines of a VCFv4.2 file."""
-    spark = calls.sparkSession
+def vcf_lines(calls: DataFrame, lengths: dict[str, int], source: str = "readloom", day: date | None = None, single: bool = False, reference: str = "") -> tuple[DataFrame, list[str]]:
+    """(chrom, key_pos, key_var, value): records of a VCFv4.2 file, and its header's lines."""
     info = ["Freq,Post"] if single else ["Freq1,Freq2,Freq3,Post1,Post2,Post3"]
     names = [*info[0].split(","), *CALLS]
     kinds = {c: "Integer" for c in CALLS[:4]}
@@ -67,13 +94,12 @@ def vcf_lines(calls: DataFrame, lengths: dict[str, int], source: str = "readloom
     fields = F.concat_ws(";", *(F.concat(F.lit(f"{n}="), text(n)) for n in names))
     qual = F.format_string("%.4f", phred(mean_posterior(calls)))
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "var", qual, F.lit("PASS"), fields)
-    body = calls.select(F.concat(F.lit("1"), F.lpad(F.col("key_pos").cast("string"), 12, "0")).alias("ord"), "chrom", line.alias("value"))
-    head = spark.createDataFrame([(f"0{i:06d}", "", v) for i, v in enumerate(meta)], "ord string, chrom string, value string")
-    return head.unionByName(body)
+    return calls.select(*CALL_ORDER, line.alias("value")), meta
 
 
 def write_vcf(calls: DataFrame, lengths: dict[str, int], path: str, **options) -> None:
-    vcf_lines(calls, lengths, **options).repartition(1).sortWithinPartitions("ord", "chrom").select("value").write.mode("overwrite").text(path)
+    lines, header = vcf_lines(calls, lengths, **options)
+    write_lines(lines, CALL_ORDER, path, header)
 
 
 def write_corrected(cleaned: DataFrame, path: str, roi_b: int = 0) -> None:

@@ -10,6 +10,7 @@ from readloom.operators.sampler import Params, gibbs
 from readloom.sources import bam, files, readers, sinks
 
 import numpy as np
+import pytest
 
 
 def test_support_coverage_and_corrected_reads_read_back(spark, tmp_path):
@@ -42,11 +43,54 @@ def test_variant_table_reads_back(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == set(rows)
 
 
+def test_parts_are_written_in_parallel_in_order_with_one_header(spark, tmp_path):
+    kinds = ", ".join(["chrom string", "key_pos int", "key_var string", "pos int", "ref string", "var string", *(f"{c}{k} double" for c in ("frq", "pst") for k in (1, 2, 3)), *(f"state{k} string" for k in (1, 2, 3)), "fvar int, rvar int, ftot int, rtot int, pval double, qval double"])
+    rows = [(c, p, "A", p, "C", "A", 0.25, 0.25, 0.25, 1.0, 1.0, 1.0, "called", "called", "called", 1, 2, 3, 4, 0.5, 1.0) for p in (9, 10, 2, 100, 33, 7, 1000) for c in ("b", "a", "c")]
+    calls = spark.createDataFrame(rows, kinds).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_csv(calls, str(tmp_path / "csv"))
+        sinks.write_vcf(calls, {"a": 2000}, str(tmp_path / "vcf"))
+        files.write_snvs(calls.drop("fvar"), str(tmp_path / "SNV"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((r[0], r[1]) for r in rows)
+    parts = sorted((tmp_path / "csv").glob("part-*"))
+    assert len(parts) > 1
+    lines = b"".join(p.read_bytes() for p in parts).decode().split("\r\n")
+    assert lines[0].startswith("Chromosome,Pos,Ref,Var,Frq1") and lines[-1] == ""
+    assert [(x.split(",")[0], int(x.split(",")[1])) for x in lines[1:-1]] == want
+    vcf = "".join(p.read_text() for p in sorted((tmp_path / "vcf").glob("part-*"))).splitlines()
+    n = sum(x.startswith("#") for x in vcf)
+    assert vcf[0] == "##fileformat=VCFv4.2" and vcf[n - 1].startswith("#CHROM") and all(x.startswith("#") for x in vcf[:n])
+    assert [(x.split("\t")[0], int(x.split("\t")[1])) for x in vcf[n:]] == want
+    assert sorted((r.chrom, r.pos) for r in files.read_snvs(spark, str(tmp_path / "SNV")).collect()) == want
+    with pytest.raises(ValueError, match="no header"):
+        files.read_snvs(spark, str(tmp_path / "vcf"))
+
+
+def test_trace_clusters_and_frequencies_as_files(spark, tmp_path):
+    trace = spark.createDataFrame([("c", 1, s, 3, 5.0, 0.99, 0.9) for s in (2, 0, 10, 1)], "chrom string, beg int, step int, classes int, untouched double, theta double, gamma double")
+    files.write_trace(trace, str(tmp_path / "t"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*"))).splitlines()
+    assert lines[0].startswith("#chrom") and [x.split("\t")[2] for x in lines[1:]] == ["0", "1", "2", "10"] and lines[1] == "c\t1\t0\t3\t5\t0.99\t0.9"
+    files.write_clusters(spark.createDataFrame([("c", 1, 0, 7.0, 2, "AC")], "chrom string, beg int, classes int, ave_reads double, q int, hap string"), str(tmp_path / "k"))
+    files.write_frequencies(spark.createDataFrame([("c", 1, "AC", [3, 0, 2])], "chrom string, beg int, hap string, reads array<int>"), str(tmp_path / "f"))
+    text = ["".join(p.read_text() for p in sorted((tmp_path / n).glob("part-*"))).splitlines()[1] for n in "kf"]
+    assert text == ["c\t1\t0\t7\t2\tAC", "c\t1\tAC\t3,0,2"]
+
+
+def test_sizes_of_reads_count_clipped_and_inserted_bases(spark):
+    a = spark.createDataFrame([(1, "r", 0, "c", 0, "2S3M1I2M1S", "ACGTACGTA"), (2, "s", 0, "c", 0, "2M5D2M3H", "ACGT"), (3, "t", 0, "c", 0, "4M", "*")], "file_ord long, qname string, flag int, chrom string, pos0 int, cigar string, seq string")
+    assert [(r.qname, r.size) for r in readers.aligned_reads(a).orderBy("file_ord").collect()] == [("r", 9), ("s", 4), ("t", 1)]
+
+
 def test_vcf_leaves_out_slots_without_a_window(spark):
     rows = [("g", 5, "A", 5, "C", "A", 0.25, None, None, 1.0, None, None, "called", "none", "absent", 1, 2, 3, 4, 0.5, 1.0)]
     kinds = ", ".join(["chrom string", "key_pos int", "key_var string", "pos int", "ref string", "var string", *(f"{c}{k} double" for c in ("frq", "pst") for k in (1, 2, 3)), *(f"state{k} string" for k in (1, 2, 3)), "fvar int, rvar int, ftot int, rtot int, pval double, qval double"])
-    lines = [r.value for r in sinks.vcf_lines(spark.createDataFrame(rows, kinds), {"g": 9}, reference="g.fasta").collect()]
-    assert "##reference=g.fasta" in lines
+    body, header = sinks.vcf_lines(spark.createDataFrame(rows, kinds), {"g": 9}, reference="g.fasta")
+    lines = [r.value for r in body.collect()]
+    assert "##reference=g.fasta" in header
     assert any(x.endswith("Freq1=0.2500;Freq3=0.0000;Post1=1.0000;Post3=0.0000;Fvar=1;Rvar=2;Ftot=3;Rtot=4;Pval=0.5;Qval=1.0") for x in lines)
 
 
