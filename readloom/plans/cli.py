@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import haplotypes, windows
-from ..sources import files, readers, sinks
+from ..sources import files, indexed, readers, sinks
 from . import analysis
 
 
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("-I", "--ignore_indels", action="store_true")
     common.add_argument("-p", "--threshold", type=float, default=0.9)
     common.add_argument("-of", "--out_format", nargs="+", choices=("csv", "vcf"), default=["csv", "vcf"])
+    common.add_argument("--index", default="", help="folder of the reads sorted by place: made if it isn't there; with a region only its reads are read")
     common.add_argument("-t", "--threads", type=int, default=0, help="tasks at a time in a local session; a cluster decides itself")
     sampled = argparse.ArgumentParser(add_help=False)
     sampled.add_argument("--epochs", default="", help="folder of the sampler's states: a run that was stopped goes on from there")
@@ -47,6 +48,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def region_reads(spark: SparkSession, a: argparse.Namespace, reference: DataFrame) -> DataFrame:
+    """The aligned reads; with a region, those that reach into it or the windows around it."""
+    reads = readers.aligned_reads(readers.read_alignments(spark, a.bam), mask_indels=a.ignore_indels)
+    if not a.region:
+        return analysis.kept(reads)
+    lengths = {r["chrom"]: r["n"] for r in reference.select("chrom", F.length("seq").alias("n")).collect()}  # names and lengths of the reference
+    # windows of an amplicon lie in the region; those of shotgun reach three shifts beyond it
+    shift = getattr(a, "windowsize", 201) // getattr(a, "winshifts", 3) if a.command == "shotgun" else 0
+    (chrom, (begin, end)), = windows.region_bounds(lengths, shift, a.region).items()
+    if not a.index:
+        return analysis.kept(readers.in_region(reads, chrom, begin, end + 1))
+    return indexed.read_region(spark, a.index, indexed.indexed(reads, a.index), chrom, begin, end + 1)
+
+
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     builder = SparkSession.builder
@@ -59,7 +74,7 @@ def main(args: list[str] | None = None) -> None:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     logging.info("%s of %s", a.command, a.bam)
     reference = readers.read_fasta(spark, a.fasta).select(F.col("id").alias("chrom"), "seq", "ord")
-    reads = analysis.kept(readers.aligned_reads(readers.read_alignments(spark, a.bam), mask_indels=a.ignore_indels))
+    reads = region_reads(spark, a, reference)
     single = a.command == "amplicon" or a.command == "snv" and a.increment == 1
     if a.command == "snv":
         text = a.windows.endswith(".txt")
