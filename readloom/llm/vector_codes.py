@@ -271,7 +271,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
         raise ValueError("a code has two hexadecimal digits a part: 1 to 256 entries")
     kept = usable(vectors, vec_col).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
     start = kept.select("id", "v").orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).collect()
-    x = integers(np.array([r["v"] for r in start], dtype=np.float64).reshape(len(start), -1), scale)
+    x = integers(np.array([r["v"] for r in start], dtype=np.float64).reshape(len(start), len(start[0]["v"]) if start else 0), scale)
     cut = bounds(x.shape[1], parts)
     books = [x[:, a:b] for a, b in zip(cut, cut[1:], strict=False)]
     blocks = written(trees(kept, parts, scale, block), "cover-trees")
