@@ -8,7 +8,9 @@ bands meets all haplotypes of its window. Pairs that met are verified by bit pla
 distance is kept by partial aggregation. Equal reads of a window are compared once.
 
 Reads without a haplotype within ``most`` give no row; of equally near haplotypes the first in the
-order of letters counts. Null sequences take no part; strings of different lengths never meet.
+order of letters counts. As in windows, a read takes part if it knows a share of the columns
+(``least_known``, the windows' least overlap). Null sequences take no part; strings of different
+lengths never meet.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import packed, packed_distance
+from ..functions.dna import missing, packed, packed_distance
 
 KEYS = ("chrom", "beg")
 
@@ -28,26 +30,28 @@ def bands(seq: Column, number: int) -> Column:
     def band(i: Column) -> Column:
         begin = F.floor(i * n / number)
         part = F.substr(seq, (begin + 1).cast("int"), (F.floor((i + 1) * n / number) - begin).cast("int"))
-        return F.when(~F.contains(part, F.lit("N")), F.xxhash64(part, n, i))
+        return F.when(~F.contains(part, F.lit("N")), F.hash(part, n, i))
 
     return F.transform(F.sequence(F.lit(0), F.lit(number - 1)), band)
 
 
-def nearest_haplotypes(reads: DataFrame, haps: DataFrame, most: int) -> DataFrame:
+def nearest_haplotypes(reads: DataFrame, haps: DataFrame, most: int, least_known: float = 0.85) -> DataFrame:
     """(chrom, beg, seq, weight, hap, distance) of each different read of a window; reads: (chrom, beg, seq), haps: (chrom, beg, hap)."""
     number = 2 * most + 2
     # bands come from an aggregate's output, not from a group key: filters on them must not be moved before the aggregation
-    r = reads.where(F.col("seq").isNotNull()).groupBy(*KEYS, "seq").agg(F.count("*").alias("weight"), F.first("seq").alias("letters"))
-    r = r.select(*KEYS, "seq", "weight", bands(F.col("letters"), number).alias("r_bands"), packed(F.col("letters")).alias("r_bits"))
+    r = reads.where(F.length("seq") - missing(F.col("seq")) >= least_known * F.length("seq")).groupBy(*KEYS, "seq").agg(F.count("*").alias("weight"), F.first("seq").alias("letters"))
+    r = r.select(*KEYS, "seq", "weight", F.length("letters").alias("columns"), bands(F.col("letters"), number).alias("r_bands"), packed(F.col("letters")).alias("r_bits"), F.md5("letters").alias("read"))
     h = haps.where(F.col("hap").isNotNull()).groupBy(*KEYS, "hap").agg(F.first("hap").alias("letters"))
-    h = h.select(*KEYS, "hap", bands(F.col("letters"), number).alias("h_bands"), packed(F.col("letters")).alias("h_bits"))
+    h = h.select(*KEYS, "hap", F.length("letters").alias("h_columns"), bands(F.col("letters"), number).alias("h_bands"), packed(F.col("letters")).alias("h_bits"))
     known = F.size(F.filter("r_bands", lambda b: b.isNotNull()))
-    by_band = r.where(known > most).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
+    # what is sent once for each band is a read's name, bits and bands, not its letters
+    short = r.drop("seq", "weight")
+    by_band = short.where(known > most).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
     of_haps = h.select("*", F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull())
     same = F.zip_with("r_bands", "h_bands", lambda x, y: F.coalesce(x == y, F.lit(False)))
     # a pair meets at its first equal band
     met = by_band.join(of_haps, [*KEYS, "at", "band"]).where(F.array_position(same, True) == F.col("at") + 1)
-    met = met.unionByName(r.where(known <= most).join(h, [*KEYS]), allowMissingColumns=True)
-    near = met.where(F.length("seq") == F.length("hap")).withColumn("distance", packed_distance(F.col("h_bits"), F.col("r_bits"))).where(F.col("distance") <= most)
-    best = near.groupBy(*KEYS, "seq").agg(F.first("weight").alias("weight"), F.min(F.struct("distance", "hap")).alias("best"))
-    return best.select(*KEYS, "seq", "weight", "best.hap", "best.distance")
+    met = met.unionByName(short.where(known <= most).join(h, [*KEYS]), allowMissingColumns=True)
+    near = met.where(F.col("columns") == F.col("h_columns")).withColumn("distance", packed_distance(F.col("h_bits"), F.col("r_bits"))).where(F.col("distance") <= most)
+    best = near.groupBy(*KEYS, "read").agg(F.min(F.struct("distance", "hap")).alias("best"))
+    return r.select(*KEYS, "read", "seq", "weight").join(best, [*KEYS, "read"]).select(*KEYS, "seq", "weight", "best.hap", "best.distance")

@@ -447,7 +447,7 @@ ORACLES = {
     "nearest_haplotype": f"""WITH {_READS}, w AS (SELECT chrom, rpad(substr(seq, 1, {WIDTH}), {WIDTH}, 'N') AS seq FROM reads),
       r AS (SELECT chrom, seq, count(*) AS weight FROM w GROUP BY ALL),
       d AS (SELECT r.*, h.seq AS hap, hamming(h.seq, r.seq) - hamming(replace(r.seq, 'N', 'A'), r.seq) + len(list_filter(range(1, {WIDTH + 1}), lambda i: r.seq[i] = 'N' AND h.seq[i] = 'N')) AS distance
-        FROM r JOIN r h ON h.chrom = r.chrom AND h.weight > 1),
+        FROM r JOIN r h ON h.chrom = r.chrom AND h.weight > 1 WHERE length(replace(r.seq, 'N', '')) >= 0.85 * {WIDTH}),
       b AS (SELECT *, row_number() OVER (PARTITION BY chrom, seq ORDER BY distance, hap) AS nth FROM d WHERE distance <= {NEAR})
       SELECT chrom, 1 AS beg, md5(seq) AS seq_md5, weight, md5(hap) AS hap_md5, distance::INTEGER AS distance FROM b WHERE nth = 1""",
     "gap_runs": f"""WITH {_READS}, c AS (SELECT rid, i, substr(seq, i::INTEGER + 1, 1) AS base FROM (SELECT rid, seq, unnest(range(0, length(seq))) AS i FROM reads)),

@@ -22,8 +22,8 @@ def test_packed_distances_agree_with_plain_counts(spark):
         assert r.f3 == sum(x != y and "N" not in (x, y) for x, y in both)
 
 
-@pytest.mark.parametrize("most", [0, 2, 6])
-def test_nearest_haplotypes_agree_with_all_pairs(spark, most):
+@pytest.mark.parametrize(("most", "least"), [(0, 0.0), (2, 0.85), (6, 0.0), (6, 0.6)])
+def test_nearest_haplotypes_agree_with_all_pairs(spark, most, least):
     """Reads with many and few unknown columns, copies, ties, a hot window, and windows without haplotypes."""
     rng = random.Random(most)
     base = "".join(rng.choices("ACGT", k=60))
@@ -39,11 +39,11 @@ def test_nearest_haplotypes_agree_with_all_pairs(spark, most):
     haps = [("c", b, near(base, 5)) for b in (1, 1, 1, 1, 2, 3)] + [("c", 1, base), ("c", 1, base), ("d", 1, base[:30]), ("c", 1, None)]
     reads = [("c", 1, near(base, rng.randrange(9), rng.choice([0, 1, 3, 20, 60]))) for _ in range(120)] + [("c", b, near(base, 3)) for b in (2, 3, 4)]
     reads += [reads[0]] * 50 + [("d", 1, base[:30]), ("d", 1, base), ("c", 1, None), ("c", 1, "")]
-    got = nearest.nearest_haplotypes(spark.createDataFrame([(*r, "x", 1) for r in reads], "chrom string, beg int, seq string, band string, at int"), spark.createDataFrame(haps, "chrom string, beg int, hap string"), most)
+    got = nearest.nearest_haplotypes(spark.createDataFrame([(*r, "x", 1) for r in reads], "chrom string, beg int, seq string, band string, at int"), spark.createDataFrame(haps, "chrom string, beg int, hap string"), most, least)
     want = {}
     for c, b, s in reads:
         found = [(sum(x != y and y != "N" for x, y in zip(h, s, strict=True)), h) for hc, hb, h in haps if (hc, hb) == (c, b) and h and s and len(h) == len(s)]
-        if found and min(found)[0] <= most:
+        if found and min(found)[0] <= most and len(s) - s.count("N") >= least * len(s):
             want[c, b, s] = (reads.count((c, b, s)), min(found)[1], min(found)[0])
     rows = got.collect()
     assert {(r.chrom, r.beg, r.seq): (r.weight, r.hap, r.distance) for r in rows} == want and len(rows) == len(want)
