@@ -41,11 +41,18 @@ U64 = np.uint64
 BAND_RATIO = 1.4
 
 
-def bands(up_to: int = 1 << 40) -> list[int]:
-    """First set size of each band."""
+def bands(percent: int, up_to: int = 1 << 40) -> list[int]:
+    """First set size of each band.
+
+    Linked sets lie in one band or in two that follow each other: b elements need at least
+    ``percent`` of them in the smaller set, so bands are wider where ``percent`` is low.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent lies between 1 and 100")
     out = [1]
     while out[-1] < up_to:
-        out.append(max(out[-1] + 1, int(out[-1] * BAND_RATIO)))
+        # a smaller set of the band has out[-1] - 1 elements at most in the one before
+        out.append(max(out[-1] + 1, int(out[-1] * BAND_RATIO), 100 * out[-1] // percent))
     return out
 
 
@@ -135,7 +142,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ``*_fold`` and ``*_wide`` are the folded parity sketches; ``*_zeros`` tells that the set also has
     to meet others at its empty chunks.
     """
-    first = bands()
+    first = bands(percent)
     edges = np.array(first)
     level_of_none = (None, False, None, None)
 

@@ -155,6 +155,21 @@ def test_join_agrees_with_brute_force(spark, size, percent):
     assert got == plain_components(rows, size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(1, 50), (2, 60), (1, 30)])
+def test_join_of_low_thresholds_links_sets_of_very_different_sizes(spark, size, percent):
+    rng = random.Random(percent)
+    rows = [(0, " ".join(f"w{i}" for i in range(10))), (1, " ".join(f"w{i}" for i in range(18)))]
+    for group in range(25):
+        base = [f"g{group}x{i}" for i in range(rng.choice([4, 9, 30, 120]))]
+        for _ in range(4):
+            some = base[: max(1, int(len(base) * rng.uniform(percent / 100 - 0.1, 1)))]
+            rows.append((len(rows), " ".join(some + [f"y{rng.randrange(99)}" for _ in range(rng.randrange(1 + len(base) // 8))])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs_of(spark, [(i, t, "s") for i, t in rows]), size, percent).collect()}
+    assert got == plain_components(rows, size, percent)
+    with pytest.raises(ValueError, match="percent"):
+        ngram_join.jaccard_components(docs_of(spark, rows[:0]), size, 0)
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for n in (5, 50, 700):
