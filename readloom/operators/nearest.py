@@ -1,7 +1,6 @@
 """The nearest haplotype of each read, exactly, without comparing all pairs.
 
-Columns are cut into bands, twice as many as differences are allowed, and one more pair. A read and a haplotype
-that differ in at most ``most`` columns agree in all columns of one band at least, if the read knows
+Columns are cut into more bands than differences are allowed. A read and a haplotype that differ in at most ``most`` columns agree in all columns of one band at least, if the read knows
 as many bands wholly as there are differences and one more; so they meet by equal bands (an equi-join
 on window, band and its letters), each pair once, at its first equal band. A read that knows fewer
 bands meets all haplotypes of its window. Pairs that met are verified by bit planes; the least
@@ -15,10 +14,12 @@ lengths never meet.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import missing, packed, packed_distance
+from ..functions.dna import missing, packed, packed_distance, unpacked
 
 KEYS = ("chrom", "beg")
 
@@ -37,21 +38,22 @@ def bands(seq: Column, number: int) -> Column:
 
 def nearest_haplotypes(reads: DataFrame, haps: DataFrame, most: int, least_known: float = 0.85) -> DataFrame:
     """(chrom, beg, seq, weight, hap, distance) of each different read of a window; reads: (chrom, beg, seq), haps: (chrom, beg, hap)."""
-    number = 2 * most + 2
+    # a read whose unknown columns lie at its ends still knows one band more than there may be differences
+    number = math.ceil((most + 3) / max(least_known, 0.5))
     # bands come from an aggregate's output, not from a group key: filters on them must not be moved before the aggregation
-    r = reads.where(F.length("seq") - missing(F.col("seq")) >= least_known * F.length("seq")).groupBy(*KEYS, "seq").agg(F.count("*").alias("weight"), F.first("seq").alias("letters"))
-    r = r.select(*KEYS, "seq", "weight", F.length("letters").alias("columns"), bands(F.col("letters"), number).alias("r_bands"), packed(F.col("letters")).alias("r_bits"), F.md5("letters").alias("read"))
+    r = reads.where(F.col("seq").isNotNull()).groupBy(*KEYS, "seq").agg(F.count("*").alias("weight"), F.first("seq").alias("letters"))
+    r = r.where(F.length("letters") - missing(F.col("letters")) >= least_known * F.length("letters"))
+    # a read's bits say its letters; they are what is sent once for each band
+    r = r.select(*KEYS, "weight", F.length("letters").alias("columns"), bands(F.col("letters"), number).alias("r_bands"), packed(F.col("letters")).alias("r_bits"))
     h = haps.where(F.col("hap").isNotNull()).groupBy(*KEYS, "hap").agg(F.first("hap").alias("letters"))
     h = h.select(*KEYS, "hap", F.length("letters").alias("h_columns"), bands(F.col("letters"), number).alias("h_bands"), packed(F.col("letters")).alias("h_bits"))
     known = F.size(F.filter("r_bands", lambda b: b.isNotNull()))
-    # what is sent once for each band is a read's name, bits and bands, not its letters
-    short = r.drop("seq", "weight")
-    by_band = short.where(known > most).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
+    by_band = r.where(known > most).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
     of_haps = h.select("*", F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull())
     same = F.zip_with("r_bands", "h_bands", lambda x, y: F.coalesce(x == y, F.lit(False)))
     # a pair meets at its first equal band
     met = by_band.join(of_haps, [*KEYS, "at", "band"]).where(F.array_position(same, True) == F.col("at") + 1)
-    met = met.unionByName(short.where(known <= most).join(h, [*KEYS]), allowMissingColumns=True)
+    met = met.unionByName(r.where(known <= most).join(h, [*KEYS]), allowMissingColumns=True)
     near = met.where(F.col("columns") == F.col("h_columns")).withColumn("distance", packed_distance(F.col("h_bits"), F.col("r_bits"))).where(F.col("distance") <= most)
-    best = near.groupBy(*KEYS, "read").agg(F.min(F.struct("distance", "hap")).alias("best"))
-    return r.select(*KEYS, "read", "seq", "weight").join(best, [*KEYS, "read"]).select(*KEYS, "seq", "weight", "best.hap", "best.distance")
+    best = near.groupBy(*KEYS, "columns", "r_bits").agg(F.first("weight").alias("weight"), F.min(F.struct("distance", "hap")).alias("best"))
+    return best.select(*KEYS, unpacked(F.col("r_bits"), F.col("columns")).alias("seq"), "weight", "best.hap", "best.distance")

@@ -14,6 +14,7 @@ def test_packed_distances_agree_with_plain_counts(spark):
     pairs = [tuple("".join(rng.choices("ACGT-N", k=n)) for _ in range(2)) for n in (0, 1, 59, 60, 61, 120, 201) for _ in range(8)]
     df = spark.createDataFrame(pairs, "a string, b string")
     a, b = F.col("a"), F.col("b")
+    assert all(r.a == r.back for r in df.select("a", dna.unpacked(dna.packed(a), F.length("a")).alias("back")).collect())
     for r in df.select("a", "b", dna.hamming_reads(a, b).alias("f1"), dna.haplotype_distance(a, b).alias("f2"), dna.haplotype_matches(a, b).alias("same"), dna.known_distance(a, b).alias("f3")).collect():
         both = list(zip(r.a, r.b, strict=True))
         assert r.f1 == sum(x != y for x, y in both)
