@@ -26,8 +26,10 @@ empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ REMOVE = 0.95
 SUPPORT = 3
 REACH = 5
 SLOTS = 1 << 20
+#: Spans and pairs, or places of terms, after which a frame leaves Python: texts may be full of personal data.
+FRAME = 1 << 14
 
 # An address is found from its @ backwards: a plain search from the left would try every letter.
 DOMAIN = re.compile(r"@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
@@ -52,6 +56,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SOLID = re.compile(r"\S+")
 OUTER = ".,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -89,30 +94,28 @@ def term_of(word: str) -> str:
     return word.strip(OUTER).lower()
 
 
-def nearest(text: str, at: int, reach: int, step: int) -> list[str]:
-    """The ``reach`` words before (step -1) or after (step 1) a place, whatever their length."""
-    size = 16 * reach
-    while True:
-        part = text[max(0, at - size) : at] if step < 0 else text[at : at + size]
-        words = part.split()
-        # a word at the edge may be cut, so one more than asked for is needed
-        if len(words) > reach or size >= (at if step < 0 else len(text) - at):
-            return words[-reach:] if step < 0 else words[:reach]
-        size *= 2
-
-
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str]]:
-    """(entity, term) for the terms within ``reach`` words of each span; entity: a value, or its kind."""
-    out = set()
-    bare = text
-    for _, s, e in spans:
-        bare = bare[:s] + " " * (e - s) + bare[e:]
+def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[str, str]]:
+    """(entity, term), each once, for the terms within ``reach`` words of each span; entity: a value, or its kind."""
+    parts, done = [], 0
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if e > done:
+            parts += [text[done:s], " " * (e - max(done, s))]
+            done = e
+    starts, terms = [], []
+    for m in SOLID.finditer("".join([*parts, text[done:]])):
+        starts.append(m.start())
+        terms.append(term_of(m[0]))
+    places = defaultdict(list)
     for kind, s, e in spans:
-        for w in (*nearest(bare, s, reach, -1), *nearest(bare, e, reach, 1)):
-            if t := term_of(w):
-                out.add((f"{kind}:{text[s:e].lower()}", t))
-                out.add((kind, t))
-    return sorted(out)
+        places[kind, text[s:e].lower()].append((bisect_left(starts, s), bisect_left(starts, e)))
+    of_kind = defaultdict(set)
+    for (kind, value), at in places.items():
+        near = {t for i, j in at for t in (*terms[max(0, i - reach) : i], *terms[j : j + reach]) if t}
+        of_kind[kind] |= near
+        entity = f"{kind}:{value}"
+        yield from ((entity, t) for t in sorted(near))
+    for kind, near in of_kind.items():
+        yield from ((kind, t) for t in sorted(near))
 
 
 def slot(term: str) -> int:
@@ -163,19 +166,32 @@ def key_of(doc_id, text):
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, spans, pairs) of every row: its base spans and the terms around them."""
+    """(doc_id, key, spans, pairs): base spans of every row and the terms around them.
+
+    Pairs beyond ``FRAME`` of a row follow in rows of their own whose ``spans`` are null.
+    """
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "key", "spans", "pairs"]).astype({"doc_id": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans = [base_spans(t or "") for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "key": batch["key"],
-                    "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans],
-                    "pairs": [[{"entity": a, "term": b} for a, b in contexts(t or "", x, REACH)] if x else [] for t, x in zip(batch["text"], spans, strict=True)],
-                }
-            )
+            rows, held = [], 0
+            for doc_id, key, text in zip(batch["doc_id"].astype("Int64"), batch["key"], batch["text"], strict=True):
+                spans = base_spans(text or "")
+                pairs = contexts(text, spans, REACH) if spans else iter(())
+                found = [{"kind": k, "start": s, "end": e} for k, s, e in spans]
+                while found is not None or part:
+                    part = [{"entity": a, "term": b} for a, b in islice(pairs, FRAME)]
+                    if found is not None or part:
+                        rows.append((doc_id, key, found, part))
+                        held += len(found or ()) + len(part)
+                    found = None
+                    if held >= FRAME:
+                        yield frame(rows)
+                        rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     schema = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, pairs array<struct<entity:string,term:string>>"
     return docs.mapInPandas(run, schema)
@@ -224,6 +240,7 @@ def find_disclosures(docs: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits = Hits(packed)
+        frame = lambda rows: pd.DataFrame(rows, columns=["key", "term", "start", "end"]).astype({"key": "int64", "term": "object", "start": "int64", "end": "int64"})
         for batch in batches:
             rows = []
             for key, text in zip(batch["key"], batch["text"], strict=True):
@@ -238,12 +255,15 @@ def find_disclosures(docs: DataFrame) -> DataFrame:
                             if t in found:
                                 lead = len(w) - len(w.lstrip(OUTER))
                                 rows.append((key, t, at + lead, at + lead + len(w.strip(OUTER))))
+                                if len(rows) == FRAME:
+                                    yield frame(rows)
+                                    rows = []
                             at += len(w)
-            yield pd.DataFrame(rows, columns=["key", "term", "start", "end"]).astype({"key": "int64", "term": "object", "start": "int64", "end": "int64"})
+            yield frame(rows)
 
     seen = docs.select("key", "text").mapInPandas(look, "key long, term string, start long, end long")
     spans = seen.join(telling, "term").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "level"))).alias("terms"))
-    return base.select("doc_id", "key", "spans").join(spans, "key", "left").select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,level:double>>")).alias("terms"))
+    return base.where(F.col("spans").isNotNull()).select("doc_id", "key", "spans").join(spans, "key", "left").select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,level:double>>")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:

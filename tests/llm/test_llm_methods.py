@@ -48,6 +48,61 @@ def test_terms_of_a_kind_agree_with_brute_force(spark):
     assert set(got) == set(want) >= {"hotline7", "x" * 400} and all(abs(got[t] - want[t]) < 1e-9 for t in want)
 
 
+def plain_contexts(text, spans):
+    out, bare = set(), text
+    for _, s, e in spans:
+        bare = bare[:s] + " " * (e - s) + bare[e:]
+    for kind, s, e in spans:
+        for w in (*bare[:s].split()[-pii.REACH :], *bare[e:].split()[: pii.REACH]):
+            if t := pii.term_of(w):
+                out |= {(f"{kind}:{text[s:e].lower()}", t), (kind, t)}
+    return sorted(out)
+
+
+def test_contexts_agree_with_plain_splits():
+    rng = random.Random(3)
+    some = ["a@b.example", "1.2.3.4", "+1 555 010 2030", "4111 1111 1111 1111", "x", "y,", "(z)", "...", "\x1f", "\u2003", "\n"]
+    for _ in range(2000):
+        text = "".join(rng.choice(some) + rng.choice(("", " ", "  ")) for _ in range(rng.randint(1, 40)))
+        spans = pii.base_spans(text)
+        assert sorted(pii.contexts(text, spans, pii.REACH)) == plain_contexts(text, spans)
+
+
+def log_text(rng, lines):
+    return " ".join(f"w{rng.randrange(10**6)} 10.{rng.randrange(256)}.{i // 256 % 256}.{i % 256} v{rng.randrange(10**6)}" for i in range(lines))
+
+
+def test_texts_full_of_personal_data_leave_in_small_frames():
+    import pandas as pd
+
+    class Docs:
+        def mapInPandas(self, run, schema):
+            return run
+
+    rng = random.Random(4)
+    texts = [log_text(rng, n) for n in (300,) * 40] + [log_text(rng, 3000), None, "no data"]
+    batch = pd.DataFrame({"doc_id": [*range(len(texts) - 1), None], "key": range(len(texts)), "text": texts})
+    frames = list(pii.base_table(Docs())(iter([batch])))
+    assert max(sum(len(x or ()) for c in ("spans", "pairs") for x in f[c]) for f in frames) <= 2 * (1 << 14)
+    rows = pd.concat(frames)
+    whole = rows[rows["spans"].notna()]
+    assert list(whole["key"]) == list(range(len(texts))) and whole["doc_id"].isna().sum() == 1
+    for key, text in enumerate(texts):
+        spans = pii.base_spans(text or "")
+        assert [(s["kind"], s["start"], s["end"]) for s in whole["spans"].iloc[key]] == spans
+        pairs = [(p["entity"], p["term"]) for part in rows[rows["key"] == key]["pairs"] for p in part]
+        assert sorted(pairs) == plain_contexts(text or "", spans)
+
+
+def test_one_text_with_very_many_spans_and_terms(spark):
+    rng = random.Random(6)
+    rows = [(i, f"the zorblax wrote jo@mail.example.org w{i}", "s") for i in range(4)] + [(i, "plain words only", "s") for i in range(10, 60)]
+    rows += [(100, log_text(rng, 3000), "s"), (101, "zorblax " * 20_000, "s")]
+    found = {r.doc_id: r for r in pii.find_disclosures(docs_of(spark, rows)).collect()}
+    assert len(found) == len(rows) and len(found[100].spans) == 3000 and not found[10].spans
+    assert len(found[101].terms) == 20_000 and [(s.start, s.end) for s in found[0].terms if s.start == 4] == [(4, 11)]
+
+
 def test_another_seed_draws_other_shards(spark):
     docs = docs_of(spark, [(i, " ".join(f"w{k}" for k in range(200)), f"s{i % 3}") for i in range(2000)])
     shards = {}
