@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import window_slice
+from . import arrays
 
 REGION = re.compile(r"^(?P<chrom>.*):(?P<start>\d+)-(?P<stop>\d+)$")
 
@@ -78,14 +78,34 @@ def overlap(width: int):
     return F.least(end, F.col("win_b") + width - 1) - F.greatest(F.col("pos0"), F.col("win_b")) + 1
 
 
+def read_ranges(reads: DataFrame, bounds: DataFrame, width: int, shift: int, min_overlap: int, most: int, every: bool = False) -> DataFrame:
+    """``reads`` with ``roi_b`` and the windows ``ka`` to ``kb``, by number, that they are in (P4, P5): those of ``tile`` that share ``min_overlap``
+    columns with them and keep them under ``cap_starts``. No row is made for a window. ``every``: also reads that are in none (``ka`` > ``kb``)."""
+    columns = F.length("gapped")
+    # one row for each sequence
+    r = reads.where(F.length("gapped") > 0).join(F.broadcast(bounds), "chrom", "left" if every else "inner").withColumn("pos0", F.col("pos0").cast("int"))
+    s, b = F.col("pos0"), F.col("roi_b")
+    e = s + columns
+    if shift == 0:
+        hit = (s < b + width) & (e > b) & (b + width - 1 <= F.col("roi_e"))
+        kmin, kmax = F.lit(0), F.when(hit, 0).otherwise(-1)
+    else:
+        last = F.floor((F.col("roi_e") - b - width + 1) / shift)
+        kmin = F.greatest(F.lit(0), F.floor((s - width + 1 - b - 1) / shift) + 1).cast("int")
+        kmax = F.least(last, F.ceil((e - b) / shift) - 1).cast("int")
+    r = r.withColumns({"kmin": F.coalesce(kmin, F.lit(0)), "kmax": F.coalesce(kmax, F.lit(-1)), "roi_b": F.coalesce("roi_b", F.lit(0))}).drop("roi_e")
+    if not every:
+        r = r.where("kmin <= kmax")
+    if most > PRE_CUT and not every:  # one start may hold all reads of an amplicon
+        r = arrays.cut_starts(r.withColumn("part", F.pmod(F.hash("file_ord"), F.lit(PARTS))), most, "part").where("kmin <= kmax").drop("part")
+    r = arrays.cut_starts(r, most)
+    ka, kb = arrays.long_enough(columns, width, shift, min_overlap)
+    return r.withColumns({"ka": ka, "kb": kb}).drop("kmin", "kmax")
+
+
 def window_reads(reads: DataFrame, bounds: DataFrame, width: int, shift: int, min_overlap: int, most: int) -> DataFrame:
     """(chrom, beg, end, file_ord, qname, pos0, seq): the reads of each window, 1-based ends."""
-    # a row has its window's columns alone before it is shuffled
-    tiled = tile(reads, bounds, width, shift).withColumn("long_enough", (F.col("columns") >= min_overlap) & (overlap(width) >= min_overlap))
-    part = F.when(F.col("long_enough"), window_slice(F.col("gapped"), F.col("pos0"), F.col("win_b"), width))
-    tiled = tiled.select("chrom", "win_b", "pos0", "file_ord", "qname", "long_enough", part.alias("seq"))
-    kept = cap_starts(tiled, most).where("long_enough")
-    return kept.select("chrom", (F.col("win_b") + 1).alias("beg"), (F.col("win_b") + width).alias("end"), "file_ord", "qname", "pos0", "seq")
+    return arrays.window_rows(read_ranges(reads.select("chrom", "pos0", "gapped", "file_ord", "qname"), bounds, width, shift, min_overlap, most), width, shift)
 
 
 def coverage(rows: DataFrame, above: int = 0) -> DataFrame:
