@@ -45,12 +45,13 @@ def clean_corrected(merged: DataFrame, most_x: int = 10) -> DataFrame:
     Leading - and X go, and move the start; X within go too; reads of - and X alone, or with more
     than ``most_x`` X inside, are left out.
     """
-    left = F.regexp_replace("seq", "^[-X]+", "")
-    m = merged.withColumn("body", F.regexp_replace(left, "[-X]+$", ""))
+    ends = F.lit("-X")
+    m = merged.withColumn("left", F.ltrim("seq", ends))
+    m = m.withColumn("body", F.rtrim("left", ends))
     m = m.withColumn("inner_x", F.length("body") - F.length(F.replace(F.col("body"), F.lit("X"), F.lit(""))))
     m = m.where((F.col("body") != "") & (F.col("inner_x") <= most_x))
-    lead = F.length("seq") - F.length(F.regexp_replace("seq", "^[-X]+", ""))
-    return m.select("chrom", "qname", (F.col("pos0") + lead).alias("pos0"), "file_ord", F.replace(left, F.lit("X"), F.lit("")).alias("seq"), "inner_x")
+    lead = F.length("seq") - F.length("left")
+    return m.select("chrom", "qname", (F.col("pos0") + lead).alias("pos0"), "file_ord", F.replace(F.col("left"), F.lit("X"), F.lit("")).alias("seq"), "inner_x")
 
 
 def x_histogram(merged: DataFrame, most_x: int = 1 << 30) -> DataFrame:
