@@ -15,38 +15,68 @@ lengths never meet.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import missing, packed, packed_distance, unpacked
+from ..functions.dna import WORD, packed_distance, unpacked
+from .arrays import CODE
 
 KEYS = ("chrom", "beg")
 
 
-def bands(seq: Column, number: int) -> Column:
-    """Hashes of the bands of a string; null where a band has an N."""
-    n = F.length(seq)
+def banded(rows: DataFrame, number: int, least_known: float = 0.0) -> DataFrame:
+    """``rows`` (chrom, beg, seq, ...) with ``columns``, ``bands`` and ``bits``; those that know less than a share of their columns are left out.
 
-    def band(i: Column) -> Column:
-        begin = F.floor(i * n / number)
-        part = F.substr(seq, (begin + 1).cast("int"), (F.floor((i + 1) * n / number) - begin).cast("int"))
-        return F.when(~F.contains(part, F.lit("N")), F.hash(part, n, i))
+    bands: a hash of each of ``number`` parts of the string, null where it has an N; bits: as ``dna.packed``.
+    Strings of one length are worked on together, as arrays.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = b.column("seq").cast(pa.binary()).to_pylist()
+            size = np.array([len(s) for s in seqs], dtype=np.int64)
+            for n in np.unique(size).tolist():
+                of = np.flatnonzero(size == n)
+                code = CODE[np.frombuffer(b"".join([seqs[i] for i in of]), dtype=np.uint8)].reshape(len(of), n)
+                unknown = code == 5
+                kept = n - unknown.sum(1) >= least_known * n
+                of, code, unknown = of[kept], code[kept], unknown[kept]
+                if not len(of):
+                    continue
+                edge = np.arange(number + 1) * n // number
+                weights = np.random.default_rng(n).integers(1, 1 << 63, n, dtype=np.int64) | 1
+                # sums of products, modulo 2^64; equal hashes of different letters only make a pair meet in vain
+                upto = np.zeros((len(of), n + 1), dtype=np.int64)
+                np.cumsum((code.astype(np.int64) + 1) * weights, axis=1, out=upto[:, 1:])
+                missing = np.zeros((len(of), n + 1), dtype=np.int32)
+                np.cumsum(unknown, axis=1, out=missing[:, 1:])
+                bands = pa.array((upto[:, edge[1:]] - upto[:, edge[:-1]]).ravel(), mask=(missing[:, edge[1:]] > missing[:, edge[:-1]]).ravel())
+                planes = []
+                for k in range(3):
+                    bit = (code >> k & 1).astype(np.int64)
+                    planes.append(np.stack([bit[:, i : i + WORD] @ (1 << np.arange(min(WORD, n - i) - 1, -1, -1, dtype=np.int64)) for i in range(0, n, WORD)] or [np.zeros(len(of), dtype=np.int64)], axis=1))
+                words = planes[0].shape[1] if n else 0
+                flat = pa.StructArray.from_arrays([pa.array(p[:, :words].ravel()) for p in planes], names=["p0", "p1", "p2"])
+                lists = [pa.ListArray.from_arrays(np.arange(len(of) + 1, dtype=np.int32) * each, values) for each, values in ((number, bands), (words, flat))]
+                own = [c.take(pa.array(of)) for c in b.columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(of), n, dtype=np.int32)), *lists], names=[*b.schema.names, "columns", "bands", "bits"])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(number - 1)), band)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{types}, columns int, bands array<bigint>, bits array<struct<p0:bigint,p1:bigint,p2:bigint>>")
 
 
 def nearest_haplotypes(reads: DataFrame, haps: DataFrame, most: int, least_known: float = 0.85) -> DataFrame:
     """(chrom, beg, seq, weight, hap, distance) of each different read of a window; reads: (chrom, beg, seq), haps: (chrom, beg, hap)."""
     # a read whose unknown columns lie at its ends still knows one band more than there may be differences
     number = math.ceil((most + 3) / max(least_known, 0.5))
-    # bands come from an aggregate's output, not from a group key: filters on them must not be moved before the aggregation
-    r = reads.where(F.col("seq").isNotNull()).groupBy(*KEYS, "seq").agg(F.count("*").alias("weight"), F.first("seq").alias("letters"))
-    r = r.where(F.length("letters") - missing(F.col("letters")) >= least_known * F.length("letters"))
+    r = reads.where(F.col("seq").isNotNull()).groupBy(*KEYS, "seq").agg(F.count("*").alias("weight"))
     # a read's bits say its letters; they are what is sent once for each band
-    r = r.select(*KEYS, "weight", F.length("letters").alias("columns"), bands(F.col("letters"), number).alias("r_bands"), packed(F.col("letters")).alias("r_bits"))
-    h = haps.where(F.col("hap").isNotNull()).groupBy(*KEYS, "hap").agg(F.first("hap").alias("letters"))
-    h = h.select(*KEYS, "hap", F.length("letters").alias("h_columns"), bands(F.col("letters"), number).alias("h_bands"), packed(F.col("letters")).alias("h_bits"))
+    r = banded(r, number, least_known).select(*KEYS, "weight", "columns", F.col("bands").alias("r_bands"), F.col("bits").alias("r_bits"))
+    h = haps.where(F.col("hap").isNotNull()).select(*KEYS, F.col("hap").alias("seq")).distinct()
+    h = banded(h, number).select(*KEYS, F.col("seq").alias("hap"), F.col("columns").alias("h_columns"), F.col("bands").alias("h_bands"), F.col("bits").alias("h_bits"))
     known = F.size(F.filter("r_bands", lambda b: b.isNotNull()))
     by_band = r.where(known > most).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
     of_haps = h.select("*", F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull())

@@ -48,3 +48,19 @@ def test_nearest_haplotypes_agree_with_all_pairs(spark, most, least):
             want[c, b, s] = (reads.count((c, b, s)), min(found)[1], min(found)[0])
     rows = got.collect()
     assert {(r.chrom, r.beg, r.seq): (r.weight, r.hap, r.distance) for r in rows} == want and len(rows) == len(want)
+
+
+def test_bits_and_bands_from_arrays(spark):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACGT-N", weights=[5, 5, 5, 5, 1, 1], k=n)) for n in (0, 1, 59, 60, 61, 120, 201, 201) for _ in range(6)]
+    df = nearest.banded(spark.createDataFrame([("c", 1, s) for s in seqs], "chrom string, beg int, seq string"), 7)
+    # bits came from digits of base 2, letter by letter, in each row
+    assert "conv(" not in df._jdf.queryExecution().toString()
+    rows = df.select("seq", "columns", "bits", "bands", dna.packed(F.col("seq")).alias("want")).collect()
+    parts = lambda s: [s[i * len(s) // 7 : (i + 1) * len(s) // 7] for i in range(7)]
+    assert len(rows) == len(seqs) and all(r.bits == r.want and r.columns == len(r.seq) for r in rows)
+    assert all((h is None) == ("N" in p) for r in rows for h, p in zip(r.bands, parts(r.seq), strict=True))
+    long = [r for r in rows if len(r.seq) == 201]
+    for a in long:
+        for b in long:
+            assert all((x == y) == (p == q) for x, y, p, q in zip(a.bands, b.bands, parts(a.seq), parts(b.seq), strict=True) if x is not None and y is not None)
