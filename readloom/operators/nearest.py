@@ -2,8 +2,8 @@
 
 Columns are cut into more bands than differences are allowed. A read and a haplotype that differ in at most ``most`` columns agree in all columns of one band at least, if the read knows
 as many bands wholly as there are differences and one more; so they meet by equal bands (an equi-join
-on window, band and its letters), each pair once, at its first equal band. A read that knows fewer
-bands meets all haplotypes of its window. Pairs that met are verified by bit planes; the least
+on window, band and its letters), each pair once, at its first equal band. Any bands of that number do, so a
+read takes those that the fewest haplotypes share. A read that knows fewer bands meets all haplotypes of its window. Pairs that met are verified by bit planes; the least
 distance is kept by partial aggregation. Equal reads of a window are compared once.
 
 Reads without a haplotype within ``most`` give no row; of equally near haplotypes the first in the
@@ -26,6 +26,8 @@ from ..functions.dna import WORD, packed_distance, unpacked
 from .arrays import CODE
 
 KEYS = ("chrom", "beg")
+#: A band that so many haplotypes of a window share is hot.
+HOT = 8
 
 
 def banded(rows: DataFrame, number: int, least_known: float = 0.0) -> DataFrame:
@@ -68,6 +70,24 @@ def banded(rows: DataFrame, number: int, least_known: float = 0.0) -> DataFrame:
     return rows.mapInArrow(run, f"{types}, columns int, bands array<bigint>, bits array<struct<p0:bigint,p1:bigint,p2:bigint>>")
 
 
+def rarest(r: DataFrame, h: DataFrame, enough: int) -> DataFrame:
+    """``r`` with ``enough`` of each read's bands, those that the fewest haplotypes have; its others are null.
+
+    Of ``enough`` bands one agrees whichever they are, so a text that very many sequences begin with makes
+    no pairs. A read learns of its hot bands alone; only they are joined.
+    """
+    r = r.withColumn("rid", F.xxhash64("r_bits", "columns"))
+    hot = h.select(*KEYS, F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull()).groupBy(*KEYS, "at", "band").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    hits = r.select(*KEYS, "rid", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull()).join(hot, [*KEYS, "at", "band"])
+    # reads of one rid share what they learn; a read may take any of its bands, so that is no error
+    cost = hits.groupBy(*KEYS, "rid", "at").agg(F.max("n").alias("n")).groupBy(*KEYS, "rid").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("cost"))
+    j = r.join(cost, [*KEYS, "rid"], "left")
+    of = lambda b, i: F.when(b.isNotNull(), F.struct(F.coalesce(F.try_element_at("cost", i), F.lit(0).cast("long")).alias("n"), i.alias("at")))
+    order = F.sort_array(F.filter(F.transform("r_bands", of), lambda x: x.isNotNull()))
+    j = j.withColumn("picked", F.transform(F.slice(order, 1, enough), lambda x: x["at"]))
+    return j.withColumn("r_bands", F.transform("r_bands", lambda b, i: F.when(F.array_contains("picked", i), b))).drop("picked", "cost", "rid")
+
+
 def nearest_haplotypes(reads: DataFrame, haps: DataFrame, most: int, least_known: float = 0.85) -> DataFrame:
     """(chrom, beg, seq, weight, hap, distance) of each different read of a window; reads: (chrom, beg, seq), haps: (chrom, beg, hap)."""
     # a read whose unknown columns lie at its ends still knows one band more than there may be differences
@@ -78,7 +98,7 @@ def nearest_haplotypes(reads: DataFrame, haps: DataFrame, most: int, least_known
     h = haps.where(F.col("hap").isNotNull()).select(*KEYS, F.col("hap").alias("seq")).distinct()
     h = banded(h, number).select(*KEYS, F.col("seq").alias("hap"), F.col("columns").alias("h_columns"), F.col("bands").alias("h_bands"), F.col("bits").alias("h_bits"))
     known = F.size(F.filter("r_bands", lambda b: b.isNotNull()))
-    by_band = r.where(known > most).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
+    by_band = rarest(r.where(known > most), h, most + 1).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
     of_haps = h.select("*", F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull())
     same = F.zip_with("r_bands", "h_bands", lambda x, y: F.coalesce(x == y, F.lit(False)))
     # a pair meets at its first equal band

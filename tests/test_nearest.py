@@ -64,3 +64,18 @@ def test_bits_and_bands_from_arrays(spark):
     for a in long:
         for b in long:
             assert all((x == y) == (p == q) for x, y, p, q in zip(a.bands, b.bands, parts(a.seq), parts(b.seq), strict=True) if x is not None and y is not None)
+
+
+def test_a_beginning_that_all_sequences_share_makes_no_pairs(spark):
+    """Exact all the same; before, every read met every haplotype by the bands of the common beginning."""
+    rng = random.Random(9)
+    seqs = ["A" * 60 + "".join(rng.choices("ACGT", k=141)) for _ in range(300)]
+    df = spark.createDataFrame([("c", 1, s) for s in seqs], "chrom string, beg int, seq string")
+    r = nearest.banded(df, 16).select("chrom", "beg", F.lit(1).alias("weight"), "columns", F.col("bands").alias("r_bands"), F.col("bits").alias("r_bits"))
+    h = nearest.banded(df, 16).select("chrom", "beg", F.col("bands").alias("h_bands"))
+    got = nearest.rarest(r, h, 11).collect()
+    # the common beginning holds bands 0 to 3
+    assert len(got) == 300 and all(x.r_bands[:4] == [None] * 4 and sum(b is not None for b in x.r_bands) == 11 for x in got)
+    haps = [("c", 1, s[:200] + "ACGT"["ACGT".index(s[200]) - 1]) for s in seqs[::3]]
+    found = nearest.nearest_haplotypes(df, spark.createDataFrame(haps, "chrom string, beg int, hap string"), 10).collect()
+    assert {(x.seq, x.hap, x.distance) for x in found} == {(s, h[2], 1) for s, h in zip(seqs[::3], haps, strict=True)}
