@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ KEYS = ("chrom", "beg")
 HOT = 8
 
 
-def banded(rows: DataFrame, number: int, least_known: float = 0.0) -> DataFrame:
+def banded(rows: DataFrame, numbers: tuple[int, ...], least_known: float = 0.0, most: int = -1) -> DataFrame:
     """``rows`` (chrom, beg, seq, ...) with ``columns``, ``bands`` and ``bits``; those that know less than a share of their columns are left out.
 
-    bands: a hash of each of ``number`` parts of the string, null where it has an N; bits: as ``dna.packed``.
-    Strings of one length are worked on together, as arrays.
+    bands: a hash of each of ``number`` parts of the string, null where it has an N; ``number`` is the first of
+    ``numbers`` with which more than ``most`` bands are known, 0 if there is none. bits: as ``dna.packed``. Strings of one length are worked on together, as arrays.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,26 +49,34 @@ def banded(rows: DataFrame, number: int, least_known: float = 0.0) -> DataFrame:
                 of, code, unknown = of[kept], code[kept], unknown[kept]
                 if not len(of):
                     continue
-                edge = np.arange(number + 1) * n // number
                 weights = np.random.default_rng(n).integers(1, 1 << 63, n, dtype=np.int64) | 1
                 # sums of products, modulo 2^64; equal hashes of different letters only make a pair meet in vain
                 upto = np.zeros((len(of), n + 1), dtype=np.int64)
                 np.cumsum((code.astype(np.int64) + 1) * weights, axis=1, out=upto[:, 1:])
                 missing = np.zeros((len(of), n + 1), dtype=np.int32)
                 np.cumsum(unknown, axis=1, out=missing[:, 1:])
-                bands = pa.array((upto[:, edge[1:]] - upto[:, edge[:-1]]).ravel(), mask=(missing[:, edge[1:]] > missing[:, edge[:-1]]).ravel())
                 planes = []
                 for k in range(3):
                     bit = (code >> k & 1).astype(np.int64)
                     planes.append(np.stack([bit[:, i : i + WORD] @ (1 << np.arange(min(WORD, n - i) - 1, -1, -1, dtype=np.int64)) for i in range(0, n, WORD)] or [np.zeros(len(of), dtype=np.int64)], axis=1))
                 words = planes[0].shape[1] if n else 0
-                flat = pa.StructArray.from_arrays([pa.array(p[:, :words].ravel()) for p in planes], names=["p0", "p1", "p2"])
-                lists = [pa.ListArray.from_arrays(np.arange(len(of) + 1, dtype=np.int32) * each, values) for each, values in ((number, bands), (words, flat))]
-                own = [c.take(pa.array(of)) for c in b.columns]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(of), n, dtype=np.int32)), *lists], names=[*b.schema.names, "columns", "bands", "bits"])
+                left = np.ones(len(of), dtype=bool)
+                for number in (*numbers, 0):
+                    parts = number or numbers[0]
+                    edge = np.arange(parts + 1) * n // parts
+                    null = missing[:, edge[1:]] > missing[:, edge[:-1]]
+                    row = np.flatnonzero(left & ((~null).sum(1) > most) if number else left)
+                    left[row] = False
+                    if not len(row):
+                        continue
+                    bands = pa.array((upto[row][:, edge[1:]] - upto[row][:, edge[:-1]]).ravel(), mask=null[row].ravel())
+                    flat = pa.StructArray.from_arrays([pa.array(p[row, :words].ravel()) for p in planes], names=["p0", "p1", "p2"])
+                    lists = [pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32) * each, values) for each, values in ((parts, bands), (words, flat))]
+                    own = [c.take(pa.array(of[row])) for c in b.columns]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(row), number, dtype=np.int32)), pa.array(np.full(len(row), n, dtype=np.int32)), *lists], names=[*b.schema.names, "number", "columns", "bands", "bits"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{types}, columns int, bands array<bigint>, bits array<struct<p0:bigint,p1:bigint,p2:bigint>>")
+    return rows.mapInArrow(run, f"{types}, number int, columns int, bands array<bigint>, bits array<struct<p0:bigint,p1:bigint,p2:bigint>>")
 
 
 def rarest(r: DataFrame, h: DataFrame, enough: int) -> DataFrame:
@@ -77,33 +86,36 @@ def rarest(r: DataFrame, h: DataFrame, enough: int) -> DataFrame:
     no pairs. A read learns of its hot bands alone; only they are joined.
     """
     r = r.withColumn("rid", F.xxhash64("r_bits", "columns"))
-    hot = h.select(*KEYS, F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull()).groupBy(*KEYS, "at", "band").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
-    hits = r.select(*KEYS, "rid", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull()).join(hot, [*KEYS, "at", "band"])
+    hot = h.select(*KEYS, "number", F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull()).groupBy(*KEYS, "number", "at", "band").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    hits = r.select(*KEYS, "rid", "number", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull()).join(hot, [*KEYS, "number", "at", "band"])
     # reads of one rid share what they learn; a read may take any of its bands, so that is no error
     cost = hits.groupBy(*KEYS, "rid", "at").agg(F.max("n").alias("n")).groupBy(*KEYS, "rid").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("cost"))
     j = r.join(cost, [*KEYS, "rid"], "left")
     of = lambda b, i: F.when(b.isNotNull(), F.struct(F.coalesce(F.try_element_at("cost", i), F.lit(0).cast("long")).alias("n"), i.alias("at")))
     order = F.sort_array(F.filter(F.transform("r_bands", of), lambda x: x.isNotNull()))
-    j = j.withColumn("picked", F.transform(F.slice(order, 1, enough), lambda x: x["at"]))
+    # an exploded array of one element is worked out once; a plain column would be, again, for each band
+    j = j.withColumn("picked", F.explode(F.array(F.transform(F.slice(order, 1, enough), lambda x: x["at"]))))
     return j.withColumn("r_bands", F.transform("r_bands", lambda b, i: F.when(F.array_contains("picked", i), b))).drop("picked", "cost", "rid")
 
 
 def nearest_haplotypes(reads: DataFrame, haps: DataFrame, most: int, least_known: float = 0.85) -> DataFrame:
     """(chrom, beg, seq, weight, hap, distance) of each different read of a window; reads: (chrom, beg, seq), haps: (chrom, beg, hap)."""
-    # a read whose unknown columns lie at its ends still knows one band more than there may be differences
+    # a read whose unknown columns lie at its ends still knows one band more than there may be differences; with more of them
+    # spread out the bands must be finer, and with one more than differences and unknown columns together they always do
     number = math.ceil((most + 3) / max(least_known, 0.5))
+    numbers = (number, number * 3 // 2, number * 5 // 2)
     r = reads.where(F.col("seq").isNotNull()).groupBy(*KEYS, "seq").agg(F.count("*").alias("weight"))
     # a read's bits say its letters; they are what is sent once for each band
-    r = banded(r, number, least_known).select(*KEYS, "weight", "columns", F.col("bands").alias("r_bands"), F.col("bits").alias("r_bits"))
+    r = banded(r, numbers, least_known, most).select(*KEYS, "weight", "number", "columns", F.col("bands").alias("r_bands"), F.col("bits").alias("r_bits"))
     h = haps.where(F.col("hap").isNotNull()).select(*KEYS, F.col("hap").alias("seq")).distinct()
-    h = banded(h, number).select(*KEYS, F.col("seq").alias("hap"), F.col("columns").alias("h_columns"), F.col("bands").alias("h_bands"), F.col("bits").alias("h_bits"))
-    known = F.size(F.filter("r_bands", lambda b: b.isNotNull()))
-    by_band = rarest(r.where(known > most), h, most + 1).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
+    h = reduce(DataFrame.unionByName, [banded(h, (n,)) for n in numbers])
+    h = h.select(*KEYS, "number", F.col("seq").alias("hap"), F.col("columns").alias("h_columns"), F.col("bands").alias("h_bands"), F.col("bits").alias("h_bits"))
+    by_band = rarest(r.where("number > 0"), h, most + 1).select("*", F.posexplode("r_bands").alias("at", "band")).where(F.col("band").isNotNull())
     of_haps = h.select("*", F.posexplode("h_bands").alias("at", "band")).where(F.col("band").isNotNull())
     same = F.zip_with("r_bands", "h_bands", lambda x, y: F.coalesce(x == y, F.lit(False)))
     # a pair meets at its first equal band
-    met = by_band.join(of_haps, [*KEYS, "at", "band"]).where(F.array_position(same, True) == F.col("at") + 1)
-    met = met.unionByName(r.where(known <= most).join(h, [*KEYS]), allowMissingColumns=True)
+    met = by_band.join(of_haps, [*KEYS, "number", "at", "band"]).where(F.array_position(same, True) == F.col("at") + 1)
+    met = met.unionByName(r.where("number = 0").drop("number").join(h.where(F.col("number") == number).drop("number"), [*KEYS]), allowMissingColumns=True)
     near = met.where(F.col("columns") == F.col("h_columns")).withColumn("distance", packed_distance(F.col("h_bits"), F.col("r_bits"))).where(F.col("distance") <= most)
     best = near.groupBy(*KEYS, "columns", "r_bits").agg(F.first("weight").alias("weight"), F.min(F.struct("distance", "hap")).alias("best"))
     return best.select(*KEYS, unpacked(F.col("r_bits"), F.col("columns")).alias("seq"), "weight", "best.hap", "best.distance")

@@ -53,7 +53,7 @@ def test_nearest_haplotypes_agree_with_all_pairs(spark, most, least):
 def test_bits_and_bands_from_arrays(spark):
     rng = random.Random(4)
     seqs = ["".join(rng.choices("ACGT-N", weights=[5, 5, 5, 5, 1, 1], k=n)) for n in (0, 1, 59, 60, 61, 120, 201, 201) for _ in range(6)]
-    df = nearest.banded(spark.createDataFrame([("c", 1, s) for s in seqs], "chrom string, beg int, seq string"), 7)
+    df = nearest.banded(spark.createDataFrame([("c", 1, s) for s in seqs], "chrom string, beg int, seq string"), (7,))
     # bits came from digits of base 2, letter by letter, in each row
     assert "conv(" not in df._jdf.queryExecution().toString()
     rows = df.select("seq", "columns", "bits", "bands", dna.packed(F.col("seq")).alias("want")).collect()
@@ -71,11 +71,19 @@ def test_a_beginning_that_all_sequences_share_makes_no_pairs(spark):
     rng = random.Random(9)
     seqs = ["A" * 60 + "".join(rng.choices("ACGT", k=141)) for _ in range(300)]
     df = spark.createDataFrame([("c", 1, s) for s in seqs], "chrom string, beg int, seq string")
-    r = nearest.banded(df, 16).select("chrom", "beg", F.lit(1).alias("weight"), "columns", F.col("bands").alias("r_bands"), F.col("bits").alias("r_bits"))
-    h = nearest.banded(df, 16).select("chrom", "beg", F.col("bands").alias("h_bands"))
+    r = nearest.banded(df, (16,)).select("chrom", "beg", F.lit(1).alias("weight"), "number", "columns", F.col("bands").alias("r_bands"), F.col("bits").alias("r_bits"))
+    h = nearest.banded(df, (16,)).select("chrom", "beg", "number", F.col("bands").alias("h_bands"))
     got = nearest.rarest(r, h, 11).collect()
     # the common beginning holds bands 0 to 3
     assert len(got) == 300 and all(x.r_bands[:4] == [None] * 4 and sum(b is not None for b in x.r_bands) == 11 for x in got)
     haps = [("c", 1, s[:200] + "ACGT"["ACGT".index(s[200]) - 1]) for s in seqs[::3]]
     found = nearest.nearest_haplotypes(df, spark.createDataFrame(haps, "chrom string, beg int, hap string"), 10).collect()
     assert {(x.seq, x.hap, x.distance) for x in found} == {(s, h[2], 1) for s, h in zip(seqs[::3], haps, strict=True)}
+
+
+def test_unknown_columns_spread_out_take_finer_bands(spark):
+    """Such reads met all haplotypes of their window before."""
+    rng = random.Random(3)
+    s = ["".join("N" if i % 20 == 3 + k % 9 or i % 40 == k % 9 else rng.choice("ACGT") for i in range(201)) for k in range(40)]
+    got = nearest.banded(spark.createDataFrame([("c", 1, x) for x in s], "chrom string, beg int, seq string"), (16, 24, 40), 0.85, 10).collect()
+    assert len(got) == 40 and all(x.number in (24, 40) and len(x.bands) == x.number and sum(b is not None for b in x.bands) > 10 for x in got)
